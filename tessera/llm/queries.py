@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sstable
+from . import jaccard, sstable
 from .common import table
 
 
@@ -21,8 +21,14 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(spark, table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.classify(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sstable": op2_sstable,
+    "op9_jaccard": op9_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
