@@ -13,8 +13,8 @@ A shard file holds, in this order:
 * a Bloom filter of the keys (BLOOM_BITS bits a key, double hashing);
 * a footer of fixed size with the places of the above, the counts and a magic word.
 
-Keys are order-preserving bytes of a 64-bit integer (null sorts first); values
-are unsigned 32-bit little-endian token ids.
+Keys are order-preserving bytes of a 64-bit integer (null sorts first); a value
+is a byte with the width of its ids, 2 or 4, then the ids, little-endian.
 
 Edge cases: a null or empty text has the end id alone; null doc_ids come first;
 rows with the same doc_id are all kept, ordered by a hash of their text; an empty table makes
@@ -28,6 +28,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,8 @@ _SIGN = 1 << 63
 
 #: Words seen by this Python worker.  It only saves time; dropping it changes nothing.
 _CACHE: dict[str, "WordEncoder"] = {}
-WORDS_KEPT = 600_000
+WORDS_KEPT = 400_000
+PARTS_KEPT = 900_000
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)((?:[0-9]|[!-&(-/:-;=?-@\[-`{-~]+)*)\Z")
 _TAIL = re.compile(r"[0-9]|[^0-9]+")
 
@@ -73,19 +75,22 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
+        self.part: dict[str, bytes] = {}
+        self.clear_words()
+
+    def clear_words(self) -> None:
         self.word: dict[str, int] = {}
-        self.part: dict[str, list[int]] = {}
-        self.ids: list[np.ndarray] = []
-        self.chunk: list[list[int]] = []
         self.flat = np.empty(0, np.uint32)
         self.start = np.zeros(1, np.int64)
 
     def learn(self, words: list[str]) -> None:
+        if len(self.part) > PARTS_KEPT:
+            self.part = {}
         parts: dict[str, None] = {}
         split: list[tuple[str, list[str]]] = []
         for w in words:
             m = _SIMPLE.match(w)
-            ps = ([m[1].lower()] if m[1] else []) + _TAIL.findall(m[2]) if m else [w]
+            ps = ([m[1].lower()] if m[1] else []) + (_TAIL.findall(m[2]) if m[2] else []) if m else [w]
             split.append((w, ps))
             for p in ps:
                 if p not in self.part:
@@ -94,21 +99,19 @@ class WordEncoder:
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.part[p] = e.ids
-        n, flat, sizes = len(self.word), [], []
+                self.part[p] = array("I", e.ids).tobytes()
+        n, flat = len(self.word), []
         for w, ps in split:
-            ids = self.part[ps[0]] if len(ps) == 1 else [i for p in ps for i in self.part[p]]
+            flat.append(self.part[ps[0]] if len(ps) == 1 else b"".join(map(self.part.__getitem__, ps)))
             self.word[w] = n
             n += 1
-            flat += ids
-            sizes.append(len(ids))
-        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.array(sizes, np.int64))])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(flat), np.uint32)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) // 4)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and the ids of each."""
         if len(self.word) > WORDS_KEPT:
-            self.clear()
+            self.clear_words()
         words = [t.replace("\n", " ").split(" ") for t in texts]
         if new := list({w for ws in words for w in ws if w not in self.word}):
             self.learn(new)
@@ -141,6 +144,14 @@ def unpack_key(key: bytes) -> int | None:
     return None if key == b"\0" else int.from_bytes(key[1:], "big") - _SIGN
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
+
+
+def unpack_ids(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, f"<u{value[0]}", offset=1).astype("<u4")
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
@@ -195,7 +206,7 @@ class Writer:
         self._last = key
         self._n += 1
         self.entries += 1
-        self.tokens += len(value) // 4
+        self.tokens += (len(value) - 1) // value[0]
         if self._size >= BLOCK_BYTES:
             self._flush()
 
@@ -279,7 +290,7 @@ class SSTable:
         found = []
         with self.fs.open_input_file(self.path) as f:
             while i < len(self.index) and self.index[i][0] <= key:
-                found += [np.frombuffer(v, "<u4") for k, v in self._entries(f.read_at(self.index[i][2], self.index[i][1])) if k == key]
+                found += [unpack_ids(v) for k, v in self._entries(f.read_at(self.index[i][2], self.index[i][1])) if k == key]
                 i += 1
         return found
 
@@ -299,21 +310,22 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         final = f"{folder}/shard-{shard:06d}.sst"
         files, path = pafs.FileSystem.from_uri(final)
         temp, out, w = f"{path}.{uuid.uuid4().hex}.tmp", None, None
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 keys = some.column(0).to_pylist()
                 ids, sizes = enc.encode([t or "" for t in some.column(1).to_pylist()])
-                raw = np.ascontiguousarray(ids, "<u4").tobytes()
                 if out is None:
                     files.create_dir(path.rpartition("/")[0], recursive=True)
                     out = files.open_output_stream(temp)
                     w = Writer(out)
+                # each document's ids, the end id after them
+                ends = np.cumsum(sizes)
+                ids = np.insert(ids, ends, end_id)
                 b = 0
-                for k, n in zip(keys, (sizes * 4).tolist(), strict=True):
-                    w.add(pack_key(k), raw[b : b + n] + end)
-                    b += n
+                for k, e in zip(keys, (ends + np.arange(1, len(ends) + 1)).tolist(), strict=True):
+                    w.add(pack_key(k), pack_ids(ids[b:e]))
+                    b = e
         if out is not None:
             w.close()
             out.close()
@@ -341,11 +353,12 @@ def _scan(batches):
             keys, starts, sizes, values, held = [], [], [], [], 0
             for key, value in SSTable(path).scan():
                 keys.append(unpack_key(key))
+                ids = unpack_ids(value)
                 starts.append(base)
-                sizes.append(len(value) // 4)
-                values.append(value)
-                base += len(value) // 4
-                held += len(value)
+                sizes.append(len(ids))
+                values.append(ids.tobytes())
+                base += len(ids)
+                held += len(values[-1])
                 if held > 8 << 20:
                     yield _batch(keys, starts, sizes, values)
                     keys, starts, sizes, values, held = [], [], [], [], 0

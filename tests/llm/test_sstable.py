@@ -58,11 +58,11 @@ def test_blocks_and_prefixes(tmp_path):
     with p.open("wb") as f:
         w = sstable.Writer(f)
         for i in range(5000):
-            w.add(sstable.pack_key(i * 2 - 5000), np.arange(i % 50, dtype="<u4").tobytes())
+            w.add(sstable.pack_key(i * 2 - 5000), sstable.pack_ids(np.arange(i % 50) * (70_000 if i % 3 else 1)))
         w.close()
     t = sstable.SSTable(str(p))
     assert len(t.index) > 3 and t.entries == 5000
-    assert t.get(-5000)[0].size == 0 and t.get(4998)[0].tolist() == list(range(49)) and t.get(3) == []
+    assert t.get(-5000)[0].size == 0 and t.get(4996)[0].tolist() == list(range(48)) and t.get(4998)[0].tolist() == list(range(0, 49 * 70_000, 70_000)) and t.get(3) == []
     wrong = sum(t.may_hold(sstable.pack_key(i)) for i in range(-4999, 4999, 2))
     assert wrong < 150
 
