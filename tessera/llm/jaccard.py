@@ -165,22 +165,6 @@ def _prefixes(k: int, percent: int, level):
     return prefixes
 
 
-_SET = "class long, tokens binary"
-
-
-def _sets(k: int):
-    def sets(batches):
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for some in _slices(batch):
-                    own = shingles(some.column(1).to_pylist(), k)
-                    want = some.column(0).to_pylist()
-                    keep = [(c, s.tobytes()) for c, s in zip(want, own, strict=True) if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == c]
-                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keep], pa.int64()), pa.array([s for _, s in keep], pa.binary())], ["class", "tokens"])
-
-    return sets
-
-
 class Tree:
     """A signature tree over sets sorted by size, searched against itself or another."""
 
@@ -250,10 +234,10 @@ def _search(x: Tree, y: Tree, percent: int, group: np.ndarray, shift: int) -> No
                 stack.append(d)
 
 
-def links_of(left: list[tuple[int, bytes]], right: list[tuple[int, bytes]] | None, percent: int) -> list[tuple[int, int]]:
+def links_of(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int) -> list[tuple[int, int]]:
     """Links that join what links join among left (right None), or between left and right: each set with its group's least class."""
-    read = lambda rows: ([c for c, _ in rows], [np.frombuffer(s, np.uint64) for _, s in rows])
-    most = max(len(s) // 8 for _, s in left + (right or []))
+    read = lambda rows: ([c for c, _ in rows], [s for _, s in rows])
+    most = max(len(s) for _, s in left + (right or []))
     bits = min(1 << 16, max(256, 1 << (2 * most - 1).bit_length()))
     x = Tree(*read(left), bits)
     y = x if right is None else Tree(*read(right), bits)
@@ -266,25 +250,28 @@ def links_of(left: list[tuple[int, bytes]], right: list[tuple[int, bytes]] | Non
     return [(min(g), c) for g in groups.values() if len(g) > 1 for c in g if c != min(g)]
 
 
-def _trees(percent: int):
-    """Rows of a task stand together: tree, side of the pair (0 or 1), class, tokens; paired is whether there are two sides."""
+def _trees(k: int, percent: int):
+    """Rows of a task stand together: task, side of the pair (0 or 1), whether there are two sides, class, text."""
 
     def trees(batches):
-        now, sides, paired = None, ([], []), False
+        now, sides, paired = None, ({}, {}), False
 
         def done():
             if sides[0] and (sides[1] or not paired):
-                found = links_of(sides[0], sides[1] if paired else None, percent)
+                found = links_of(list(sides[0].items()), list(sides[1].items()) if paired else None, percent)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            for task, side, two, c, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if task != now:
-                    yield from done()
-                    now, sides, paired = task, ([], []), two
-                sides[side].append((c, tokens))
-        yield from done()
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for some in _slices(batch):
+                    sets = shingles(some.column(4).to_pylist(), k)
+                    for task, side, two, c, s in zip(*(some.column(i).to_pylist() for i in range(4)), sets, strict=True):
+                        if task != now:
+                            yield from done()
+                            now, sides, paired = task, ({}, {}), two
+                        sides[side].setdefault(c, s)  # a row may be there more than once
+            yield from done()
 
     return trees
 
@@ -327,11 +314,11 @@ def classify(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     two = pairs.where("two").select("root", F.col("r2").alias("range"), F.col("t2").alias("tree"), F.lit(1).alias("side"), "two", F.xxhash64("root", "r1", "t1", "r2", "t2").alias("task"))
     sides = one.unionByName(two)
 
-    wanted = rows.join(members, (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("class", "text")
-    sets = wanted.mapInArrow(_sets(words), _SET).dropDuplicates(["class"])
-    dealt = sets.join(placed.select("class", "root", "range", "tree"), "class").join(sides, ["root", "range", "tree"]).select("task", "side", "two", "class", "tokens")
-    ordered = dealt.repartition(common.partitions(spark), "task").sortWithinPartitions("task", "side")
-    found = ordered.mapInArrow(_trees(percent), "a long, b long")
+    places = common.materialise(placed.select("class", "first_id", "first_hash", "root", "range", "tree").join(sides, ["root", "range", "tree"]), "places")
+    match = (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    wanted = rows.join(places, match).select("task", "side", "two", "class", "text")
+    ordered = wanted.repartition(common.partitions(spark), "task").sortWithinPartitions("task", "side")
+    found = ordered.mapInArrow(_trees(words, percent), "a long, b long")
     linked = components(found)
 
     heads = firsts.join(linked.withColumnRenamed("node", "class"), "class", "left").select("class", "least_id", F.coalesce("root", "class").alias("root"))

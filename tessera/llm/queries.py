@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, sstable
+from . import ann, jaccard, langid, pii, sstable
 from .common import table
 
 
@@ -21,6 +21,24 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(spark, table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(table(spark, sf_dir, "documents", "doc_id", "text"))
+    counts = [pii.count("base", k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, "base_sha256", pii.text_of("spans").alias("spans"))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.search(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.predict(docs, model, ["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.classify(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -28,6 +46,9 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sstable": op2_sstable,
+    "op4_pii": op4_pii,
+    "op6_ann": op6_ann,
+    "op8_langid": op8_langid,
     "op9_jaccard": op9_jaccard,
 }
 

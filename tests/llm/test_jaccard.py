@@ -79,12 +79,12 @@ def test_tree_prunes_nothing_that_links():
     rows = []
     for i in range(120):
         s = np.unique(np.concatenate([base[rng.random(len(base)) > 0.06], rng.integers(0, 1 << 63, int(rng.integers(0, 12)), dtype=np.uint64)]))
-        rows.append((i, s.tobytes()))
-    rows += [(1000 + i, np.unique(rng.integers(0, 1 << 63, 250, dtype=np.uint64)).tobytes()) for i in range(100)]
+        rows.append((i, s))
+    rows += [(1000 + i, np.unique(rng.integers(0, 1 << 63, 250, dtype=np.uint64))) for i in range(100)]
     group = {c: c for c, _ in rows}
     for a, b in jaccard.links_of(rows, None, 90):
         group[b] = a
-    arr = [(c, set(np.frombuffer(b, np.uint64).tolist())) for c, b in rows]
+    arr = [(c, set(b.tolist())) for c, b in rows]
     for i, (c, x) in enumerate(arr):
         for d, y in arr[:i]:
             if 100 * len(x & y) >= 90 * len(x | y):
