@@ -3,7 +3,8 @@
 A text is the L2-normalised TF-IDF vector of its hashed letter trigrams (FEATURES
 of them); each language has CLUSTERS centroids found by spherical k-means; the
 language of the centroid with the largest cosine wins.  A text is *rejected* if its
-cosine is under half of the least that training texts of like length had.
+cosine is under a third of the least that training texts of like length had; the cosine
+of a text shorter than those is expected to fall as the root of its length.
 
 Training reads at most SAMPLE labelled texts of each language, those with
 the smallest hash of doc_id; prediction reads the whole text and nothing else.
@@ -27,6 +28,8 @@ from . import common
 FEATURES = 4096
 CLUSTERS = 3
 SAMPLE = 400
+LEAST_TEXTS = 5
+REJECT = 1 / 3
 UNKNOWN = "und"
 
 
@@ -97,7 +100,8 @@ def _centroids(idf):
         near = (v @ centre.T).max(1)
         out = pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [c.astype(np.float32).tobytes() for c in centre]})
         size = pd.Series([_bucket(int(r.sum())) for r in rows])
-        least = pd.Series(near).groupby(size).min()
+        groups = pd.Series(near).groupby(size)
+        least = groups.min()[groups.size() >= LEAST_TEXTS]
         limits = pd.DataFrame({"lang": pdf["lang"].iloc[0], "bucket": least.index.astype("int64"), "least": least.to_numpy("float64")})
         return pd.concat([out, limits])[["lang", "centroid", "bucket", "least"]]
 
@@ -110,6 +114,15 @@ class Model:
     def __init__(self, langs: list[str], matrix: np.ndarray, idf: np.ndarray, limits: dict[int, float]):
         self.langs, self.matrix, self.idf, self.limits = langs, matrix, idf, limits
 
+    def limit(self, grams: int) -> float:
+        """The least cosine of training texts of that length."""
+        b, known = _bucket(grams), sorted(self.limits)
+        if not known:
+            return 0.0
+        if b < known[0]:
+            return self.limits[known[0]] * 2 ** ((b - known[0]) / 2)
+        return self.limits[max(k for k in known if k <= b)]
+
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text, lang (rows that may be learnt from)."""
@@ -148,7 +161,7 @@ def _predict(model):
                     best = near.argmax(1)
                     for i, b, s in zip(there, best.tolist(), near.max(1).tolist(), strict=True):
                         lang[i], score[i] = m.langs[b], min(1.0, max(0.0, s))
-                        reject[i] = s < 0.5 * m.limits.get(_bucket(int(rows[i].sum())), 0.0)
+                        reject[i] = s < REJECT * m.limit(int(rows[i].sum()))
                 langs += lang
                 scores += score
                 out += reject
@@ -162,7 +175,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns of keep, and lang_pred, score and rejected, read from text alone."""
     common.ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    narrow = docs.select(F.col("text").cast("string"), *keep)
+    narrow = docs.select(F.col("text").cast("string").alias("_whole_text"), *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])
     return narrow.mapInArrow(_predict(sent), f"{kept}, lang_pred string, score double, rejected boolean")
 
