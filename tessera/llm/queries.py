@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, langid, pii, sstable
+from . import ann, jaccard, langid, license_scan, pii, sharding, sstable
 from .common import table
 
 
@@ -21,6 +21,14 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(spark, table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
 
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "n_chars")
+    return sharding.place(docs, "doc_id", SHARDS, ["n_chars"]).select("doc_id", "slot", "shard", "hot")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(table(spark, sf_dir, "documents", "doc_id", "text"))
     counts = [pii.count("base", k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
@@ -32,6 +40,10 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 50 = 0"), k=5)
 
 
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -46,8 +58,10 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sstable": op2_sstable,
+    "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
     "op6_ann": op6_ann,
+    "op7_license": op7_license,
     "op8_langid": op8_langid,
     "op9_jaccard": op9_jaccard,
 }
