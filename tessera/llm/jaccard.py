@@ -3,11 +3,10 @@
 Documents with equal shingle sets are one class.  Classes are dealt to trees so
 that no link is lost, and each tree is searched against itself:
 
-1. A count sketch of all shingles (SKETCH counters, whatever the corpus) orders
-   tokens from rare to common.  A set's *prefix* is its ``n - ceil(t n) + 1`` first tokens
-   in that order; two sets with similarity t share a token of their
-   prefixes.  Sets that share one, and whose sizes allow similarity t along the
-   chain of sizes, go to the same tree.
+1. Bands of minhashes are the keys that deal classes to trees: sets with a band in common, and whose
+   sizes allow similarity t along the chain of sizes, go to the same tree.  There are so many
+   bands that a link at exactly similarity t is missed with a probability of MISS
+   at most, which is of the order of the hashes' own collisions.
 2. A tree has leaves of LEAF sets and nodes of FANOUT children; each node holds
    the OR of its sets' token bitmaps, its range of sizes and the most tokens
    that its bitmap can hide.  Two nodes are searched together only if the
@@ -24,6 +23,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,8 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-SKETCH = 1 << 20
-SKETCH_ROWS = 16
+MISS = 1e-12
 LEAF = 8
 FANOUT = 8
 TREE_TOKENS = 1_000_000
@@ -89,80 +89,60 @@ def _slices(batch: pa.RecordBatch, rows: int = 256):
         yield batch.slice(at, rows)
 
 
-def _count(k: int):
-    def count(batches):
-        with np.errstate(over="ignore"):
-            total, seen = np.zeros(SKETCH, np.int64), False
-            for batch in batches:
-                for some in _slices(batch):
-                    sets = shingles(some.column(0).to_pylist(), k)
-                    if sets and (flat := np.concatenate(sets)).size:
-                        np.add.at(total, (flat >> np.uint64(64 - 20)).astype(np.int64), 1)
-                        seen = True
-            if seen:
-                parts = total.reshape(SKETCH_ROWS, -1)
-                yield pa.RecordBatch.from_pydict({"part": pa.array(range(SKETCH_ROWS), pa.int32()), "counts": [p.tobytes() for p in parts]})
-
-    return count
-
-
-def _add(batches):
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            c = np.frombuffer(counts, np.int64)
-            sums[part] = sums[part] + c if part in sums else c
-    if sums:
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": [c.tobytes() for c in sums.values()]})
-
+def bands(percent: int, most: int = 640) -> tuple[int, int]:
+    """(bands, rows of each): the most selective rows for which MISS takes no more than most hashes."""
+    best = (0, 0)
+    for rows in range(1, 33):
+        count = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows)))
+        if count * rows <= most:
+            best = (count, rows)
+    return best
 
-def levels(texts: DataFrame, k: int) -> np.ndarray:
-    """How common the tokens of each counter are: 0 up to twice the mean, then a level for each doubling.  SKETCH bytes."""
-    shape = "part int, counts binary"
-    rows = texts.mapInArrow(_count(k), shape).repartition(SKETCH_ROWS, "part").mapInArrow(_add, shape).collect()
-    total = np.zeros((SKETCH_ROWS, SKETCH // SKETCH_ROWS), np.int64)
-    for r in rows:
-        total[r.part] = np.frombuffer(r.counts, np.int64)
-    total = total.reshape(-1)
-    level = np.floor(np.log2(np.maximum(total, 1) / max(1.0, 2 * total.mean()))) + 1
-    return np.clip(level, 0, 31).astype(np.uint8)
 
+def band_keys(tokens: np.ndarray, count: int, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of the set's minhashes."""
+    a = mix(np.arange(1, count * rows + 1, dtype=np.uint64) * _A).astype(np.uint32) | np.uint32(1)
+    x = (tokens >> np.uint64(32)).astype(np.uint32)[:, None]
+    least = np.full(count * rows, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 512):
+        np.minimum(least, (x[at : at + 512] * a).min(0), out=least)
+    h = np.arange(count, dtype=np.uint64)
+    for column in least.reshape(count, rows).T:
+        h = mix(h * _A + column)
+    return h
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-n * percent // 100) + 1
 
+CLASSES_SEEN = 400_000
+_KEYED = "doc_id long, text_hash long, n int, class long, keys array<long>"
 
-_PREFIXED = "doc_id long, text_hash long, n int, class long, keys array<long>"
 
+def _keys(k: int, percent: int):
+    count, rows = bands(percent)
 
-def _prefixes(k: int, percent: int, level):
-    def prefixes(batches):
+    def keyed(batches):
+        seen: set[int] = set()  # a class that this task has dealt already needs no keys: hot copies leave it once
         with np.errstate(over="ignore"):
             for batch in batches:
                 for some in _slices(batch):
                     sets = shingles(some.column(2).to_pylist(), k)
-                    flat = np.concatenate(sets)
-                    order = level.value[(flat >> np.uint64(64 - 20)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | mix(flat) >> np.uint64(6)
-                    ids, sizes, keys, ends, at = [], [], [], [0], 0
+                    ids, keys, ends = [], [], [0]
                     for s in sets:
-                        n = len(s)
-                        sizes.append(n)
-                        ids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if n else None)
-                        if n:
-                            p = prefix_length(n, percent)
-                            own = order[at : at + n]
-                            keys.append(np.partition(own, p - 1)[:p] if p < n else own)
-                            ends.append(ends[-1] + p)
-                        else:
-                            ends.append(ends[-1])
-                        at += n
+                        c = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+                        ids.append(c)
+                        new = c is not None and c not in seen
+                        if new:
+                            if len(seen) >= CLASSES_SEEN:
+                                seen.clear()
+                            seen.add(c)
+                            keys.append(band_keys(s, count, rows))
+                        ends.append(ends[-1] + count * new)
                     values = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [some.column(0), some.column(1), pa.array(sizes, pa.int32()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
+                        [some.column(0), some.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
                         ["doc_id", "text_hash", "n", "class", "keys"],
                     )
 
-    return prefixes
+    return keyed
 
 
 class Tree:
@@ -285,11 +265,9 @@ def classify(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     common.ship_package(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    level = spark.sparkContext.broadcast(levels(rows.select("text"), words))
-    marked = common.materialise(rows.mapInArrow(_prefixes(words, percent, level), _PREFIXED), "prefixes")
+    marked = common.materialise(rows.mapInArrow(_keys(words, percent), _KEYED), "keyed")
 
-    classes = marked.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    routed = classes.select("class", "n", F.explode("keys").alias("key"))
+    routed = marked.where("n > 0").select("class", "n", F.explode("keys").alias("key"))
     by_size = Window.partitionBy("key").orderBy("n", "class")
     gap = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * percent, F.lit(True))
     chained = routed.withColumn("gap", gap).withColumn("a", F.last(F.when(F.col("gap"), F.col("class")), True).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))

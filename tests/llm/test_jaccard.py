@@ -115,3 +115,19 @@ def test_query(spark):
     rows = list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True))
     got = sorted(map(tuple, queries.op9_jaccard(spark, "/root/testdata/sf0.01").collect()), key=str)
     assert got == brute(rows, 3, 90)
+
+
+def test_bands_find_what_is_at_the_threshold():
+    rng = np.random.default_rng(2)
+    for percent in (80, 90):
+        count, rows = jaccard.bands(percent)
+        assert (1 - (percent / 100) ** rows) ** count <= jaccard.MISS
+        found = []
+        for _ in range(60):
+            union = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2))
+            each = len(union) * (100 - percent) // 200
+            with np.errstate(over="ignore"):
+                x, y = (jaccard.band_keys(np.sort(s), count, rows) for s in (union[each:], union[: len(union) - each]))
+            found.append(int((x == y).sum()))
+        mean = count * (percent / 100) ** rows
+        assert min(found) > 0 and 0.7 * mean < np.mean(found) < 1.4 * mean
