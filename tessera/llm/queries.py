@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, langid, license_scan, pii, sharding, sstable
+from . import ann, decontamination, html_extract, jaccard, langid, license_scan, pii, sharding, sstable
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, "base_sha256", pii.text_of("spans").alias("spans"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.drop("text_hash")
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return ann.search(rows, rows.where("vec_id % 50 = 0"), k=5)
@@ -56,14 +61,20 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"), ["page_id", "url"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sstable": op2_sstable,
     "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
+    "op5_decontamination": op5_decontamination,
     "op6_ann": op6_ann,
     "op7_license": op7_license,
     "op8_langid": op8_langid,
     "op9_jaccard": op9_jaccard,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {}
