@@ -294,7 +294,8 @@ def classify(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     places = common.materialise(placed.select("class", "first_id", "first_hash", "root", "range", "tree").join(sides, ["root", "range", "tree"]), "places")
     match = (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    wanted = rows.join(places, match).select("task", "side", "two", "class", "text")
+    # by merge at any size: neither side has a bound
+    wanted = rows.join(places.hint("merge"), match).select("task", "side", "two", "class", "text")
     ordered = wanted.repartition(common.partitions(spark), "task").sortWithinPartitions("task", "side")
     found = ordered.mapInArrow(_trees(words, percent), "a long, b long")
     linked = components(found)
