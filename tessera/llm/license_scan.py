@@ -64,7 +64,7 @@ def inverse_frequencies(docs: DataFrame) -> dict[str, float]:
     """IDF of each template word over all texts; as many numbers as the templates have words."""
     there = docs.select(F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), f"{_NOT_WORD}+"), _strings(_VOCABULARY)).alias("w"))
     # a row for each word of the templates and one for the texts
-    rows = there.select(F.explode(F.array_append("w", F.lit(""))).alias("w")).groupBy("w").count().collect()
+    rows = there.select(F.explode_outer(F.array_append("w", F.lit(""))).alias("w")).groupBy("w").count().collect()
     seen = {r["w"]: r["count"] for r in rows}
     total = seen.get("", 0)
     return {w: math.log((1 + total) / (1 + seen.get(w, 0))) for w in _VOCABULARY}
