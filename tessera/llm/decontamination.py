@@ -64,11 +64,12 @@ def _items(benchmark: DataFrame) -> DataFrame:
     both = common.materialise(own.unionByName(other), "items").where(F.size("toks") >= SHORTEST)
     both = both.withColumn("length", F.least(F.size("toks"), F.lit(WINDOW))).withColumn("template", _template("toks"))
     at = F.sequence(F.lit(1), F.size("toks") - F.col("length") + 1)
-    each = both.withColumn("windows", F.size(at)).select("item_id", "text", "length", "windows", "toks", "template", "within", F.explode(at).alias("place"))
-    cut = each.where("not within or place = 1").select("item_id", F.xxhash64("text").alias("version"), "length", "windows", "place", F.slice("template", F.col("place"), F.col("length")).alias("t"), F.slice("toks", F.col("place"), F.col("length")).alias("slots"))
+    each = both.select("item_id", "text", "length", "toks", "template", "within", F.explode(at).alias("place"))
+    cut = each.where("not within or place = 1").select("item_id", F.xxhash64("text").alias("version"), "length", "place", F.slice("template", F.col("place"), F.col("length")).alias("t"), F.slice("toks", F.col("place"), F.col("length")).alias("slots"))
     plain = F.size(F.filter("t", lambda x: ~x.isin(_NUMBER, _NAME, _UNIT)))
-    windows = cut.where(plain * 2 >= F.col("length")).select(F.xxhash64("t").alias("window"), "length", "item_id", "version", "place", "windows", "slots")
-    return common.materialise(windows.dropDuplicates(["item_id", "version", "place", "window"]), "windows")
+    windows = cut.where(plain * 2 >= F.col("length")).select(F.xxhash64("t").alias("window"), "length", "item_id", "version", "place", "slots")
+    windows = common.materialise(windows.dropDuplicates(["item_id", "version", "place", "window"]), "windows")
+    return windows.join(windows.groupBy("item_id", "version").agg(F.countDistinct("place").alias("windows")), ["item_id", "version"])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
