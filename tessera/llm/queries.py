@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html_extract, jaccard, langid, license_scan, pii, sharding, sstable
+from . import ann, decontamination, html_extract, jaccard, langid, license_scan, pii, sampled_pieces, sharding, sstable
 from .common import table
 
 
@@ -17,6 +17,10 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", _tokenizer("piece_bpe_32k.model")).drop("text")
+
+
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(spark, table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
@@ -66,6 +70,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_sstable": op2_sstable,
     "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
