@@ -304,3 +304,16 @@ def classify(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     least = heads.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = heads.join(least, "root").select("class", "component_id")
     return marked.join(named, "class", "left").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component, that of the least (doc_id, text hash); rows without shingles all stay."""
+    found = classify(docs, words, percent).where("n_shingles > 0")
+    # a null doc_id stands in a component of its own class, or of the documents it is like
+    first = found.groupBy(F.coalesce("component_id", "class").alias("c"), F.col("component_id").isNull()).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("x"))
+    h, there = common.fresh_name(docs, "text_hash"), common.fresh_name(docs, "kept_id")
+    best = first.select(F.col("x.doc_id").alias(there), F.col("x.text_hash").alias(h)).distinct()
+    marked = docs.withColumn(h, F.xxhash64("text"))
+    some = marked.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    one = some.join(best, (some["doc_id"].eqNullSafe(best[there])) & (some[h] == best[h]), "left_semi").dropDuplicates(["doc_id", h])
+    return one.drop(h).unionByName(marked.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).drop(h))

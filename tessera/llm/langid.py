@@ -182,3 +182,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows that the model rejects; all columns as they were."""
+    inner = docs.select(F.col("text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(docs.columns)])
+    kept = predict(inner, model, [f"_k{i}" for i in range(len(docs.columns))]).where("not rejected")
+    return kept.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])
