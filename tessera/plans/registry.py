@@ -412,3 +412,6 @@ def logprob_gap(spark, sf):
 def marker_ranges(spark, sf):
     whole = trace_blocks(spark, sf, 3).groupBy("rid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]).alias("tokens"))
     return whole.select("rid", F.inline(text.marker_ranges(F.col("tokens"), 1)))
+
+
+from . import more  # noqa: E402,F401  registers its queries
