@@ -36,8 +36,9 @@ from . import common
 
 ALPHA = 0.7
 SEED = 1
-FRAGMENTS_KEPT = 150_000
-WORDS_KEPT = 300_000
+FRAGMENTS_KEPT = 400_000
+WORDS_KEPT = 400_000
+SHORT = 20
 _CHUNK = re.compile(r" +[^ ]*")
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,70 +87,106 @@ class Sampler:
                 self.weight[piece] = (i, -alpha * math.log(rank + 10))
                 rank += 1
         self.fallback = -alpha * 4 * math.log(rank + 10)  # for a character in bytes
-        self.longest = max(map(len, self.weight))
+        # what a piece may begin with; the id and weight if it is one
+        self.heads = {p[:i]: (-1, 0.0) for p in self.weight for i in range(1, len(p) + 1)} | {p: (i, math.exp(w)) for p, (i, w) in self.weight.items()}
         self.pairs = {p[i : i + 2] for p in self.weight for i in range(len(p) - 1)}
         self.clear()
 
     def clear(self) -> None:
         self.fragment: dict[str, int] = {}
         self.last = _Grown(np.int64)  # of each fragment: its last node
-        self.limit, self.before, self.code = _Grown(np.float64), _Grown(np.int64), _Grown(np.int64)  # of each arc
+        self.limit, self.before, self.code = _Grown(np.float64), _Grown(np.int32), _Grown(np.int32)  # of each arc
         self.nodes = 0
         self.word: dict[str, int] = {}
         self.parts, self.begin = _Grown(np.int64), _Grown(np.int64)  # of each word: its fragments
         self.begin.add([0])
 
+    def _byte_code(self, c: str) -> int:
+        raw = c.encode()
+        return self.bytes[raw[0]] if len(raw) == 1 else -ord(c)
+
     def arcs(self, s: str) -> list[list[tuple[int, int, float]]]:
         """For each end in s (from 1): start, code and log weight of the arcs into it."""
-        out = []
-        for e in range(1, len(s) + 1):
-            here = []
-            for b in range(max(0, e - self.longest), e):
-                if (x := self.weight.get(s[b:e])) is not None:
-                    here.append((b, *x))
-            if s[e - 1] not in self.weight:
-                raw = s[e - 1].encode()
-                here.append((e - 1, self.bytes[raw[0]] if len(raw) == 1 else -ord(s[e - 1]), self.fallback))
-            out.append(here)
+        out, weight, heads, n = [[] for _ in s], self.weight, self.heads, len(s)
+        for b in range(n):
+            if s[b] not in weight:
+                out[b].append((b, self._byte_code(s[b]), self.fallback))
+            e = b + 1
+            while e <= n and (piece := s[b:e]) in heads:
+                if (x := weight.get(piece)) is not None:
+                    out[e - 1].append((b, *x))
+                e += 1
         return out
 
-    def _filter(self, s: str) -> int:
-        """Forward filtering of a fragment."""
-        total, limit, before, code = [0.0], [], [], []
-        for e, here in enumerate(self.arcs(s), 1):
+    def _filter_short(self, s: str, limit: list, before: list, code: list) -> None:
+        """Forward filtering in plain sums."""
+        n, heads, node, fallback = len(s), self.heads, self.nodes, math.exp(self.fallback)
+        total = [0.0] * (n + 1)
+        total[0] = 1.0
+        into = [([], [], []) for _ in s]
+        for b in range(n):
+            t, start, e = total[b], node + b - 1 if b else -1, b + 1
+            if s[b] not in self.weight:
+                x = t * fallback
+                total[e] += x
+                sizes, starts, codes = into[b]
+                sizes.append(x)
+                starts.append(start)
+                codes.append(self._byte_code(s[b]))
+            while e <= n and (y := heads.get(s[b:e])) is not None:
+                if y[0] >= 0:
+                    x = t * y[1]
+                    total[e] += x
+                    sizes, starts, codes = into[e - 1]
+                    sizes.append(x)
+                    starts.append(start)
+                    codes.append(y[0])
+                e += 1
+        for e, (sizes, starts, codes) in enumerate(into):
+            whole, run, at = total[e + 1], 0.0, node + e
+            for x in sizes:
+                run += x
+                limit.append(at + run / whole)
+            limit[-1] = at + 1.0
+            before += starts
+            code += codes
+
+    def _filter_long(self, s: str, limit: list, before: list, code: list) -> None:
+        """The same in logarithms, which don't run out."""
+        total, node = [0.0], self.nodes
+        for here in self.arcs(s):
             logs = [total[b] + w for b, _, w in here]
             top = max(logs)
             sizes = [math.exp(x - top) for x in logs]
             whole, run = sum(sizes), 0.0
             total.append(top + math.log(whole))
-            node = self.nodes + e - 1
             for (b, c, _), x in zip(here, sizes, strict=True):
                 run += x
                 limit.append(node + run / whole)
                 before.append(self.nodes + b - 1 if b else -1)
                 code.append(c)
-            limit[-1] = node + 1.0
-        self.limit.add(limit)
-        self.before.add(before)
-        self.code.add(code)
-        self.nodes += len(s)
-        self.last.add([self.nodes - 1])
-        return self.last.n - 1
+            node += 1
+            limit[-1] = float(node)
 
     def _fragments(self, word: str) -> list[str]:
         cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
         return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, words: list[str]) -> None:
+        limit, before, code, last, parts, begin = [], [], [], [], [], []
+        held = self.parts.n
         for w in words:
-            numbers = []
             for f in self._fragments(w):
                 if (i := self.fragment.get(f)) is None:
-                    i = self.fragment[f] = self._filter(f)
-                numbers.append(i)
+                    i = self.fragment[f] = len(self.fragment)
+                    (self._filter_short if len(f) <= SHORT else self._filter_long)(f, limit, before, code)
+                    self.nodes += len(f)
+                    last.append(self.nodes - 1)
+                parts.append(i)
             self.word[w] = len(self.word)
-            self.parts.add(numbers)
-            self.begin.add([self.parts.n])
+            begin.append(held + len(parts))
+        for array, values in ((self.limit, limit), (self.before, before), (self.code, code), (self.last, last), (self.parts, parts), (self.begin, begin)):
+            array.add(values)
 
     def sample(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
         """The ids of a sampled segmentation of each text."""
@@ -177,7 +214,7 @@ class Sampler:
                 arc = np.searchsorted(limit, node + u, side="right")
                 steps.append((alive, code[arc]))
                 length[alive] += 1
-                node = before[arc]
+                node = before[arc].astype(np.int64)
                 go = node >= 0
                 alive, node = alive[go], node[go]
         stop = np.cumsum(length)
