@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,3 +73,15 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+_CACHES: dict[str, Callable[[], object]] = {}
+
+
+def claim(name: str, clear: Callable[[], object]) -> None:
+    """To be called in a Python worker by the operator that runs there: what other operators keep in it goes."""
+    for other, drop in _CACHES.items():
+        if other != name:
+            drop()
+    _CACHES.clear()
+    _CACHES[name] = clear

@@ -38,7 +38,7 @@ MISS = 1e-12
 LEAF = 8
 FANOUT = 8
 TREE_TOKENS = 1_000_000
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _C = np.uint64(0x94D049BB133111EB)
 
@@ -112,7 +112,7 @@ def band_keys(tokens: np.ndarray, count: int, rows: int) -> np.ndarray:
     return h
 
 
-CLASSES_SEEN = 400_000
+CLASSES_SEEN = 200_000
 _KEYED = "doc_id long, text_hash long, n int, class long, keys array<long>"
 
 
@@ -120,6 +120,7 @@ def _keys(k: int, percent: int):
     count, rows = bands(percent)
 
     def keyed(batches):
+        common.claim("jaccard", _WORDS.clear)
         seen: set[int] = set()  # a class that this task has dealt already needs no keys: hot copies leave it once
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -234,6 +235,7 @@ def _trees(k: int, percent: int):
     """Rows of a task stand together: task, side of the pair (0 or 1), whether there are two sides, class, text."""
 
     def trees(batches):
+        common.claim("jaccard", _WORDS.clear)
         now, sides, paired = None, ({}, {}), False
 
         def done():

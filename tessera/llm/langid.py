@@ -150,6 +150,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def _predict(model):
     def predict(batches):
         m = model.value
+        common.claim("langid", _letters.cache_clear)
         for batch in batches:
             langs, scores, out = [], [], []
             for at in range(0, batch.num_rows, 128):

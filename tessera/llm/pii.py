@@ -132,6 +132,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _mark(batches):
+    common.claim("pii", lambda: None)
     for batch in batches:
         base, sha, found = [], [], []
         for text in batch.column(2).to_pylist():

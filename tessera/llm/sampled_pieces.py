@@ -36,8 +36,8 @@ from . import common
 
 ALPHA = 0.7
 SEED = 1
-FRAGMENTS_KEPT = 400_000
-WORDS_KEPT = 400_000
+FRAGMENTS_KEPT = 250_000
+WORDS_KEPT = 250_000
 SHORT = 20
 _CHUNK = re.compile(r" +[^ ]*")
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -242,6 +242,7 @@ def sampler(model: str, alpha: float, seed: int) -> Sampler:
 def _encode(model: str, alpha: float, seed: int):
     def encode(batches):
         s = sampler(model, alpha, seed)
+        common.claim("sampled_pieces", sampler.cache_clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)

@@ -307,6 +307,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 
         shard = TaskContext.get().partitionId()
         enc = encoder(tokenizer)
+        common.claim("sstable", _CACHE.clear)
         final = f"{folder}/shard-{shard:06d}.sst"
         files, path = pafs.FileSystem.from_uri(final)
         temp, out, w = f"{path}.{uuid.uuid4().hex}.tmp", None, None
