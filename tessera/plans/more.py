@@ -196,6 +196,6 @@ def correction_factor(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(F.when(p < 1200, p / 1000).otherwise(F.least(F.lit(1.0), p / 1500)), 9).alias("correction"))
 
 
-@query("SELECT o_orderkey, round(CASE WHEN o_totalprice <= 100000.0 THEN 1.0 + (greatest(o_totalprice, 0.0) - 0.0) * 1e-05 WHEN o_totalprice <= 300000.0 THEN 2.0 + (greatest(o_totalprice, 100000.0) - 100000.0) * 5e-06 ELSE 3.0 END, 6) AS itl FROM orders")
+@query("SELECT o_orderkey, round(CASE WHEN o_totalprice <= 100000.0 THEN 1.0 + (greatest(o_totalprice, 0.0) - 0.0) * 1e-05 WHEN o_totalprice <= 300000.0 THEN 2.0 + (greatest(o_totalprice, 100000.0) - 100000.0) * 5e-06 ELSE 3.0 END, 9) AS itl FROM orders")
 def decode_interpolation(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", F.round(planner.interpolate(F.col("o_totalprice"), [(0, 1.0), (100_000, 2.0), (300_000, 3.0)]), 6).alias("itl"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(planner.interpolate(F.col("o_totalprice"), [(0, 1.0), (100_000, 2.0), (300_000, 3.0)]), 9).alias("itl"))
