@@ -2,8 +2,8 @@
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased.  For each text:
 
-1. of its words that stand in any template, the RARE ones with the highest IDF (over all texts) are looked up;
-2. each of their postings (template, place in it) says where that template would begin; these places are the candidates;
+1. each template is looked up by the word of its mandatory phrase with the highest IDF (over all texts), at every place where that word stands;
+2. its posting (template, place in it) says where that template would begin; these places are the candidates;
 3. a candidate counts if the template's mandatory phrase stands at its place and at least COVER of
    its words stand at theirs.
 
@@ -20,7 +20,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RARE = 8
 COVER = 0.6
 _NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -56,6 +55,11 @@ def _strings(values) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def _place(words: str, key: str) -> int:
+    """The place in the template at which its phrase begins."""
+    return len(f" {words} "[: f" {words} ".index(f" {key} ")].split())
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), f"{_NOT_WORD}+"), lambda w: w != "")
 
@@ -79,15 +83,16 @@ def _holds_a_phrase(text: Column) -> Column:
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     """docs: text and the columns of keep.  Adds n_words, n_base, first_word, last_word, base_labels, labels, score."""
     idf = inverse_frequencies(docs)
-    weight = F.create_map(*[x for w in _VOCABULARY for x in (F.lit(w), F.lit(idf[w]))])
+    # a template counts only where its whole phrase stands, so one word of the phrase finds each of its places
     postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, words, _) in enumerate(TEMPLATES):
-        for p, w in enumerate(words.split()):
-            postings.setdefault(w, []).append((t, p))
+    for t, (_, words, key) in enumerate(TEMPLATES):
+        k = key.split()
+        p = max(range(len(k)), key=lambda i: (idf[k[i]], -i))
+        postings.setdefault(k[p], []).append((t, _place(words, key) + p))
     index = F.create_map(*[x for w, ps in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]))])
     templates = F.array(
         *[
-            F.struct(F.lit(label).alias("label"), _strings(words.split()).alias("words"), _strings(key.split()).alias("key"), F.lit(f" {words} ".index(f" {key} ") and len(words[: words.index(key)].split())).alias("at"))
+            F.struct(F.lit(label).alias("label"), _strings(words.split()).alias("words"), _strings(key.split()).alias("key"), F.lit(_place(words, key)).alias("at"))
             for label, words, key in TEMPLATES
         ]
     )
@@ -101,12 +106,9 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     base = F.filter(F.transform(F.filter(at, lambda o: o["w"] == "license"), lambda o: phrase(o["i"])), lambda s: s.isNotNull())
     df = df.withColumn("base", base)
 
-    heavy = F.filter(F.transform("w", lambda w, i: F.struct(F.try_element_at(weight, w).alias("r"), w.alias("w"), i.alias("i"))), lambda o: o["r"].isNotNull())
-    df = df.withColumn("known", heavy)
-    rare = F.slice(F.array_sort(F.array_distinct(F.transform("known", lambda o: F.struct((-o["r"]).alias("r"), o["w"].alias("w"))))), 1, RARE)
-    df = df.withColumn("rare", F.transform(rare, lambda o: o["w"]))
-    begins = F.flatten(F.transform(F.filter("known", lambda o: F.array_contains("rare", o["w"])), lambda o: F.transform(F.try_element_at(index, o["w"]), lambda p: F.struct(p["t"].alias("t"), (o["i"] - p["p"]).alias("s")))))
-    df = df.withColumn("begins", F.filter(F.array_distinct(begins), lambda c: c["s"] >= 0))
+    known = F.filter(at, lambda o: o["w"].isin(*sorted(postings)))
+    begins = F.flatten(F.transform(known, lambda o: F.transform(F.try_element_at(index, o["w"]), lambda p: F.struct(p["t"].alias("t"), (o["i"] - p["p"]).alias("s")))))
+    df = df.withColumn("begins", F.filter(begins, lambda c: c["s"] >= 0))
 
     def share(c):
         words = F.get(templates, c["t"])["words"]

@@ -65,3 +65,13 @@ def test_edges(spark):
     assert license_scan.scan(df.where("false"), ["doc_id"]).count() == 0
     twice = license_scan.scan(df.union(df), ["doc_id"]).collect()
     assert len(twice) == 2 * len(texts)
+
+
+def test_many_licences_in_one_text(spark):
+    headers = [words for _, words, _ in license_scan.TEMPLATES]
+    some = [w for label, w, _ in license_scan.TEMPLATES if label in ("apache-2.0", "mit", "bsd", "epl", "cc-by-sa-4.0")]
+    texts = [". ".join(headers), "; ".join(reversed(headers)), "\n".join(some), "\n".join(["word " * 50 + h for h in headers]), " ".join(some * 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(license_scan.scan(df, ["doc_id"]).collect())
+    check(got, texts)
+    assert set(got[0].labels.split(",")) == {label for label, _, _ in license_scan.TEMPLATES}
