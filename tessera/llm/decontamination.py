@@ -3,12 +3,14 @@
 A text's tokens are its words in lower case, with numbers, capitalised names within a
 sentence and units after numbers replaced by typed placeholders.  All windows of WINDOW tokens of all texts
 are hash-joined with those of the benchmark.  A text holds an item if, along one
-alignment, windows of at least SHARE of the item's match and the slots are
+alignment, the matching windows cover at least SHARE of the item's tokens and the slots are
 consistent: each value of the item stands for one value in the text and each of those
 for one of the item.  So a question asked anew with other numbers or names is found, while
-mere likeness of form isn't.
+mere likeness of form isn't.  An alignment may shift where words were put in or left out: around each offset,
+all windows that are as far from it as nothing, a window or the item's length are joined.
 
-Items shorter than WINDOW are one window of their own length; under SHORTEST tokens they are
+Items of up to WINDOW tokens are one window of their own length; those under twice as long have windows of
+under half their length, so that one replaced word leaves some. Items under SHORTEST tokens are
 left out, as are windows in which under half of the tokens are words.
 
 Edge cases: a null or empty text holds nothing; rows that repeat count once; equal items are found each; an empty
@@ -54,6 +56,17 @@ def _windows(template: str, length: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(template, i, length)))).otherwise(F.array().cast("array<long>"))
 
 
+def _length(n: Column) -> Column:
+    """Of the windows of an item of n tokens."""
+    return F.when(n <= WINDOW, n).otherwise(F.least(F.lit(WINDOW), F.expr("(n - 1) div 2").cast("int")))
+
+
+def _covered() -> Column:
+    """How many of the item's tokens the windows of a group cover."""
+    spans = F.collect_set(F.struct("place", "length"))
+    return F.size(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["place"], s["place"] + s["length"] - 1)))))
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     """A row for each window of each item: window (hash), length, item_id, place, windows, slots (the window's tokens)."""
     base = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
@@ -62,19 +75,21 @@ def _items(benchmark: DataFrame) -> DataFrame:
     other = base.select("item_id", "text", F.slice(tokens(F.concat(F.lit("x "), F.ltrim("text"))), 2, 1 << 30).alias("toks"), F.lit(True).alias("within"))
     # read again from a table, so that Spark doesn't put the reading of tokens into what follows, once for each use
     both = common.materialise(own.unionByName(other), "items").where(F.size("toks") >= SHORTEST)
-    both = both.withColumn("length", F.least(F.size("toks"), F.lit(WINDOW))).withColumn("template", _template("toks"))
+    both = both.withColumn("n", F.size("toks")).withColumn("length", _length(F.col("n"))).withColumn("template", _template("toks"))
     at = F.sequence(F.lit(1), F.size("toks") - F.col("length") + 1)
-    each = both.select("item_id", "text", "length", "toks", "template", "within", F.explode(at).alias("place"))
-    cut = each.where("not within or place = 1").select("item_id", F.xxhash64("text").alias("version"), "length", "place", F.slice("template", F.col("place"), F.col("length")).alias("t"), F.slice("toks", F.col("place"), F.col("length")).alias("slots"))
+    each = both.select("item_id", "text", "n", "length", "toks", "template", "within", F.explode(at).alias("place"))
+    cut = each.where("not within or place = 1").select("item_id", F.xxhash64("text").alias("version"), "n", "length", "place", F.slice("template", F.col("place"), F.col("length")).alias("t"), F.slice("toks", F.col("place"), F.col("length")).alias("slots"))
     plain = F.size(F.filter("t", lambda x: ~x.isin(_NUMBER, _NAME, _UNIT)))
-    windows = cut.where(plain * 2 >= F.col("length")).select(F.xxhash64("t").alias("window"), "length", "item_id", "version", "place", "slots")
+    windows = cut.where(plain * 2 >= F.col("length")).select(F.xxhash64("t").alias("window"), "n", "length", "item_id", "version", "place", "slots")
     windows = common.materialise(windows.dropDuplicates(["item_id", "version", "place", "window"]), "windows")
-    return windows.join(windows.groupBy("item_id", "version").agg(F.countDistinct("place").alias("windows")), ["item_id", "version"])
+    whole = windows.groupBy("item_id", "version").agg(F.countDistinct("place").alias("windows"), _covered().alias("total"))
+    # so many tokens one replaced word leaves at least
+    return windows.join(whole, ["item_id", "version"]).withColumn("least", F.least(F.lit(WINDOW), F.col("n") - F.col("length"), "total")).drop("n")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """docs: doc_id, text; benchmark: item_id, text.  A row for each text and item it holds:
-    doc_id, text_hash, item_id, matched and windows (of the item), share, slots (placeholders compared), changed (those with another value)."""
+    doc_id, text_hash, item_id, matched and windows (of the item), share (of its tokens), slots (placeholders compared), changed (those with another value)."""
     items = _items(benchmark)
     lengths = sorted(r[0] for r in items.select("length").distinct().collect()) or [WINDOW]  # WINDOW of them at most
     if items.count() <= BROADCAST_ROWS:
@@ -84,16 +99,31 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFra
     for length in lengths:
         # outer: else Spark would filter by the windows, written out, before it makes them
         each = docs.select("doc_id", "text_hash", "toks", _windows("template", length).alias("hashes")).select("doc_id", "text_hash", "toks", F.posexplode_outer("hashes").alias("at", "window"))
-        hit = each.join(items.where(F.col("length") == length), "window").select("doc_id", "text_hash", "item_id", "version", "place", "windows", (F.col("at") - F.col("place")).alias("offset"), F.slice("toks", F.col("at") + 1, length).alias("theirs"), "slots")
+        hit = each.join(items.where(F.col("length") == length), "window").select("doc_id", "text_hash", "item_id", "version", "place", "length", "windows", "total", "least", (F.col("at") - F.col("place")).alias("offset"), F.slice("toks", F.col("at") + 1, length).alias("theirs"), "slots")
         parts = hit if parts is None else parts.unionByName(hit)
     pairs = F.filter(F.zip_with("slots", "theirs", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: _is_slot(p["a"]))
-    # an alignment has as many windows as the item: what is collected is bounded by it
-    aligned = parts.withColumn("pairs", pairs).groupBy("doc_id", "text_hash", "item_id", "version", "offset", "windows").agg(F.countDistinct("place").alias("matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    # each window of a text is hit once for each place of an item; what is collected is bounded by the item
+    hits = common.materialise(parts.select("*", pairs.alias("pairs")).drop("slots", "theirs"), "hits")
+    key = ["doc_id", "text_hash", "item_id", "version"]
+    far = F.greatest("windows", F.lit(WINDOW))
+    bucket = F.floor(F.col("offset") / far)
+    anchors = hits.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("offset").alias("anchor"), bucket.alias("_bucket")).distinct()
+    near = hits.withColumn("far", far).withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    for c in (*key[1:], "bucket"):
+        same &= F.col(c) == F.col(f"_{c}")
+    from_here = F.abs(F.col("offset") - F.col("anchor"))
+    met = near.join(anchors.hint("merge"), same).where(from_here <= F.col("far"))
+    # of a place's windows, the nearest to the anchor
+    met = met.groupBy(*key, "anchor", "place", "length", "windows", "total", "least", "far").agg(F.min_by(F.struct("pairs", from_here.alias("away")), F.struct(from_here, "offset")).alias("x"))
+    radius = F.explode(F.array(F.lit(0), F.lit(WINDOW), F.col("far").cast("int"))).alias("radius")
+    met = met.select("*", radius).where(F.col("x.away") <= F.col("radius"))
+    aligned = met.groupBy(*key, "anchor", "radius", "windows", "total", "least").agg(F.countDistinct("place").alias("matched"), _covered().alias("covered"), F.array_distinct(F.flatten(F.collect_set("x.pairs"))).alias("pairs"))
     one_way = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k]))) == F.size("pairs")
-    kept = aligned.where((F.col("matched") / F.col("windows") >= share) & one_way("a") & one_way("b"))
+    kept = aligned.where((F.col("covered") / F.col("total") >= share) & (F.col("covered") >= F.col("least")) & one_way("a") & one_way("b"))
     kept = kept.withColumn("slots", F.size("pairs")).withColumn("changed", F.size(F.filter("pairs", lambda p: p["a"] != p["b"])))
-    best = kept.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("matched", (-F.col("changed")).alias("same"), "windows", "slots", "changed")).alias("x"))
-    return best.select("doc_id", "text_hash", "item_id", F.col("x.matched").cast("long").alias("matched"), F.col("x.windows").cast("long").alias("windows"), (F.col("x.matched") / F.col("x.windows")).alias("share"), F.col("x.slots").cast("long").alias("slots"), F.col("x.changed").cast("long").alias("changed"))
+    best = kept.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("covered", "matched", (-F.col("changed")).alias("same"), "windows", "total", "slots", "changed")).alias("x"))
+    return best.select("doc_id", "text_hash", "item_id", F.col("x.matched").cast("long").alias("matched"), F.col("x.windows").cast("long").alias("windows"), (F.col("x.covered") / F.col("x.total")).alias("share"), F.col("x.slots").cast("long").alias("slots"), F.col("x.changed").cast("long").alias("changed"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

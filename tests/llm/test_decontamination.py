@@ -94,3 +94,23 @@ def test_reparameterised_items_and_edges(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, _ in DOCS if i not in {x for x, _ in got}]
     none = bench.where("false")
     assert d.find(docs, none).count() == 0 and d.clean(docs, none).count() == docs.count() and d.find(docs.where("false"), bench).count() == 0
+
+
+SHORT = "Which small river flows past the old mill before it meets the wide green lake"
+
+
+def found(spark, docs, items):
+    return {(r.doc_id, r.item_id) for r in d.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_inserted_dropped_and_replaced_words(spark):
+    long = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    short = SHORT.split()
+    docs = []
+    for item, w in ((1, long), (2, short)):
+        for i in range(1, len(w) - 1):
+            edits = (w[:i] + ["really"] + w[i:], w[:i] + w[i + 1 :], w[:i] + ["really"] + w[i + 1 :])
+            docs += [(1000 * len(docs) + item, "Before it. " + " ".join(e) + ". After it.") for e in edits]
+    docs.append((1, "Half: " + " ".join(long[:30])))
+    docs.append((2, " ".join(long[:20]) + " and " + " ".join(short[:6])))
+    assert found(spark, docs, [(1, " ".join(long)), (2, SHORT)]) == {(i, i % 1000) for i, _ in docs} - {(2, 2)}
