@@ -10,8 +10,9 @@ mere likeness of form isn't.  An alignment may shift where words were put in or
 all windows that are as far from it as nothing, a window or the item's length are joined.
 
 Items of up to WINDOW tokens are one window of their own length; those under twice as long have windows of
-under half their length, so that one replaced word leaves some. Items under SHORTEST tokens are
-left out, as are windows in which under half of the tokens are words.
+under half their length, so that one replaced word leaves some. Windows in which under half of the tokens are words, and
+items under SHORTEST tokens, are matched by their tokens with the values, so that exact copies are found and
+mere likeness of form isn't.  An item without letters and digits has no tokens and can't be found.
 
 Edge cases: a null or empty text holds nothing; rows that repeat count once; equal items are found each; an empty
 benchmark or table gives an empty result; other columns are ignored.
@@ -29,6 +30,9 @@ SHORTEST = 4
 SHARE = 0.5
 BROADCAST_ROWS = 500_000
 _NUMBER, _NAME, _UNIT = "\ue000", "\ue001", "\ue002"
+#: Kinds of windows: matched by template, or by their tokens as they stand.  An item is looked for by all its windows and by some.
+PLAIN, LITERAL = 0, 1
+_VIEWS = ((PLAIN, LITERAL), (PLAIN,))
 # Units that may follow a number.
 UNITS = "km kg cm mm m g mg lb lbs oz ft in mi mph kmh l ml s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years mile miles meter meters metre metres dollar dollars euro euros percent degrees"
 
@@ -50,10 +54,31 @@ def _template(toks: str) -> Column:
     return F.transform(toks, lambda x: F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(x))
 
 
-def _windows(template: str, length: int) -> Column:
-    """Hashes of the windows, in order."""
-    count = F.size(template) - length + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(template, i, length)))).otherwise(F.array().cast("array<long>"))
+def _literal(toks) -> Column:
+    """The tokens without signs."""
+    return F.transform(toks, _value)
+
+
+def _value(token: Column) -> Column:
+    return F.when(_is_slot(token), F.substring(token, 2, 1 << 30)).otherwise(token)
+
+
+def _is_literal(template: Column, length) -> Column:
+    """Whether under half of a window's tokens are words."""
+    return F.size(F.filter(template, lambda x: x.isin(_NUMBER, _NAME, _UNIT))) * 2 > length
+
+
+def _windows(length: int, kinds: set[int]) -> Column:
+    """Hashes of the windows, in order, of the kinds that items have."""
+    count = F.size("template") - length + 1
+    by_template = lambda i: F.xxhash64(F.slice("template", i, length))
+    by_tokens = lambda i: F.xxhash64(F.slice("plain", i, length), F.lit(LITERAL))
+    places = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
+    found = F.transform(places, by_tokens if length < SHORTEST else by_template)
+    if LITERAL in kinds and length >= SHORTEST:
+        either = F.transform(places, lambda i: F.when(_is_literal(F.slice("template", i, length), length), by_tokens(i)).otherwise(by_template(i)))
+        found = F.when(F.col("n_slots") * 2 > length, either).otherwise(found)
+    return F.when(count > 0, found).otherwise(F.array().cast("array<long>"))
 
 
 def _length(n: Column) -> Column:
@@ -61,9 +86,10 @@ def _length(n: Column) -> Column:
     return F.when(n <= WINDOW, n).otherwise(F.least(F.lit(WINDOW), F.expr("(n - 1) div 2").cast("int")))
 
 
-def _covered() -> Column:
+def _covered(which: Column | None = None) -> Column:
     """How many of the item's tokens the windows of a group cover."""
-    spans = F.collect_set(F.struct("place", "length"))
+    span = F.struct("place", "length")
+    spans = F.collect_set(span if which is None else F.when(which, span))
     return F.size(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["place"], s["place"] + s["length"] - 1)))))
 
 
@@ -74,34 +100,39 @@ def _items(benchmark: DataFrame) -> DataFrame:
     # within a sentence of another text, an item's first word would be read as a name
     other = base.select("item_id", "text", F.slice(tokens(F.concat(F.lit("x "), F.ltrim("text"))), 2, 1 << 30).alias("toks"), F.lit(True).alias("within"))
     # read again from a table, so that Spark doesn't put the reading of tokens into what follows, once for each use
-    both = common.materialise(own.unionByName(other), "items").where(F.size("toks") >= SHORTEST)
+    both = common.materialise(own.unionByName(other), "items").where(F.size("toks") > 0)
     both = both.withColumn("n", F.size("toks")).withColumn("length", _length(F.col("n"))).withColumn("template", _template("toks"))
     at = F.sequence(F.lit(1), F.size("toks") - F.col("length") + 1)
     each = both.select("item_id", "text", "n", "length", "toks", "template", "within", F.explode(at).alias("place"))
     cut = each.where("not within or place = 1").select("item_id", F.xxhash64("text").alias("version"), "n", "length", "place", F.slice("template", F.col("place"), F.col("length")).alias("t"), F.slice("toks", F.col("place"), F.col("length")).alias("slots"))
-    plain = F.size(F.filter("t", lambda x: ~x.isin(_NUMBER, _NAME, _UNIT)))
-    windows = cut.where(plain * 2 >= F.col("length")).select(F.xxhash64("t").alias("window"), "n", "length", "item_id", "version", "place", "slots")
+    cut = cut.withColumn("kind", F.when((F.col("n") < SHORTEST) | _is_literal(F.col("t"), F.col("length")), LITERAL).otherwise(PLAIN))
+    by = F.when(F.col("kind") == LITERAL, F.xxhash64(_literal("slots"), F.lit(LITERAL))).otherwise(F.xxhash64("t"))
+    windows = cut.select(by.alias("window"), "kind", "n", "length", "item_id", "version", "place", "slots")
     windows = common.materialise(windows.dropDuplicates(["item_id", "version", "place", "window"]), "windows")
-    whole = windows.groupBy("item_id", "version").agg(F.countDistinct("place").alias("windows"), _covered().alias("total"))
+    totals = F.array(*[_covered(F.col("kind").isin(*kinds)) for kinds in _VIEWS])
+    whole = windows.groupBy("item_id", "version").agg(F.countDistinct("place").alias("windows"), totals.alias("totals"))
     # so many tokens one replaced word leaves at least
-    return windows.join(whole, ["item_id", "version"]).withColumn("least", F.least(F.lit(WINDOW), F.col("n") - F.col("length"), "total")).drop("n")
+    return windows.join(whole, ["item_id", "version"]).withColumn("least", F.least(F.lit(WINDOW), F.col("n") - F.col("length"))).drop("n")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """docs: doc_id, text; benchmark: item_id, text.  A row for each text and item it holds:
     doc_id, text_hash, item_id, matched and windows (of the item), share (of its tokens), slots (placeholders compared), changed (those with another value)."""
     items = _items(benchmark)
-    lengths = sorted(r[0] for r in items.select("length").distinct().collect()) or [WINDOW]  # WINDOW of them at most
+    kinds: dict[int, set[int]] = {}
+    for r in items.select("length", "kind").distinct().collect():  # WINDOW lengths at most
+        kinds.setdefault(r["length"], set()).add(r["kind"])
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), tokens(F.col("text").cast("string")).alias("toks")).withColumn("template", _template("toks"))
+    docs = docs.withColumn("n_slots", F.size(F.filter("toks", _is_slot))).withColumn("plain", _literal("toks"))
     parts = None
-    for length in lengths:
+    for length in sorted(kinds) or [WINDOW]:
         # outer: else Spark would filter by the windows, written out, before it makes them
-        each = docs.select("doc_id", "text_hash", "toks", _windows("template", length).alias("hashes")).select("doc_id", "text_hash", "toks", F.posexplode_outer("hashes").alias("at", "window"))
-        hit = each.join(items.where(F.col("length") == length), "window").select("doc_id", "text_hash", "item_id", "version", "place", "length", "windows", "total", "least", (F.col("at") - F.col("place")).alias("offset"), F.slice("toks", F.col("at") + 1, length).alias("theirs"), "slots")
+        each = docs.select("doc_id", "text_hash", "toks", _windows(length, kinds.get(length, set())).alias("hashes")).select("doc_id", "text_hash", "toks", F.posexplode_outer("hashes").alias("at", "window"))
+        hit = each.join(items.where(F.col("length") == length), "window").select("doc_id", "text_hash", "item_id", "version", "place", "kind", "length", "windows", "totals", "least", (F.col("at") - F.col("place")).alias("offset"), F.slice("toks", F.col("at") + 1, length).alias("theirs"), "slots")
         parts = hit if parts is None else parts.unionByName(hit)
-    pairs = F.filter(F.zip_with("slots", "theirs", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: _is_slot(p["a"]))
+    pairs = F.filter(F.zip_with("slots", "theirs", lambda a, b: F.struct(a.alias("a"), F.concat(F.substring(a, 1, 1), _value(b)).alias("b"))), lambda p: _is_slot(p["a"]))
     # each window of a text is hit once for each place of an item; what is collected is bounded by the item
     hits = common.materialise(parts.select("*", pairs.alias("pairs")).drop("slots", "theirs"), "hits")
     key = ["doc_id", "text_hash", "item_id", "version"]
@@ -114,11 +145,13 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFra
         same &= F.col(c) == F.col(f"_{c}")
     from_here = F.abs(F.col("offset") - F.col("anchor"))
     met = near.join(anchors.hint("merge"), same).where(from_here <= F.col("far"))
+    views = F.array(*[F.when(F.col("kind").isin(*ks), F.struct(F.lit(v).alias("view"), F.get("totals", F.lit(v)).alias("total"))) for v, ks in enumerate(_VIEWS)])
+    met = met.withColumn("v", F.explode(F.array_compact(views))).select("*", "v.view", "v.total").withColumn("least", F.least("least", "total"))
     # of a place's windows, the nearest to the anchor
-    met = met.groupBy(*key, "anchor", "place", "length", "windows", "total", "least", "far").agg(F.min_by(F.struct("pairs", from_here.alias("away")), F.struct(from_here, "offset")).alias("x"))
+    met = met.groupBy(*key, "view", "anchor", "place", "length", "windows", "total", "least", "far").agg(F.min_by(F.struct("pairs", from_here.alias("away")), F.struct(from_here, "offset")).alias("x"))
     radius = F.explode(F.array(F.lit(0), F.lit(WINDOW), F.col("far").cast("int"))).alias("radius")
     met = met.select("*", radius).where(F.col("x.away") <= F.col("radius"))
-    aligned = met.groupBy(*key, "anchor", "radius", "windows", "total", "least").agg(F.countDistinct("place").alias("matched"), _covered().alias("covered"), F.array_distinct(F.flatten(F.collect_set("x.pairs"))).alias("pairs"))
+    aligned = met.groupBy(*key, "view", "anchor", "radius", "windows", "total", "least").agg(F.countDistinct("place").alias("matched"), _covered().alias("covered"), F.array_distinct(F.flatten(F.collect_set("x.pairs"))).alias("pairs"))
     one_way = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k]))) == F.size("pairs")
     kept = aligned.where((F.col("covered") / F.col("total") >= share) & (F.col("covered") >= F.col("least")) & one_way("a") & one_way("b"))
     kept = kept.withColumn("slots", F.size("pairs")).withColumn("changed", F.size(F.filter("pairs", lambda p: p["a"] != p["b"])))

@@ -114,3 +114,10 @@ def test_inserted_dropped_and_replaced_words(spark):
     docs.append((1, "Half: " + " ".join(long[:30])))
     docs.append((2, " ".join(long[:20]) + " and " + " ".join(short[:6])))
     assert found(spark, docs, [(1, " ".join(long)), (2, SHORT)]) == {(i, i % 1000) for i, _ in docs} - {(2, 2)}
+
+
+def test_numbers_and_short_items(spark):
+    sums, more = "Compute 12 + 30 - 5 * 2 + 8", "ones 1 2 3 4 5 6 7 8 9 10 11 12"
+    items = [(1, sums), (2, more), (3, "17 * 23"), (4, "Name it")]
+    docs = [(1, f"Now: {sums} = ?"), (2, "So " + more + ", done"), (3, "say 17 * 23 is what"), (4, "They name it so."), (5, sums.replace("30", "31")), (6, more.replace("3 4", "4 3").replace("8 9", "9 8")), (7, "17 * 24"), (8, "name all of it")]
+    assert found(spark, docs, items) == {(i, i) for i in range(1, 5)}
