@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
 A text's tokens are its words in lower case, with numbers, capitalised names within a
-sentence and units after numbers replaced by typed placeholders.  All windows of WINDOW tokens of all texts
+sentence and units after numbers replaced by typed placeholders.  In a second reading capitalised words anywhere else (at the
+start of a sentence or line, after a quote or digit) are names too.  All windows of WINDOW tokens of all texts
 are hash-joined with those of the benchmark.  A text holds an item if, along one
 alignment, the matching windows cover at least SHARE of the item's tokens and the slots are
 consistent: each value of the item stands for one value in the text and each of those
@@ -29,27 +30,38 @@ WINDOW = 8
 SHORTEST = 4
 SHARE = 0.5
 BROADCAST_ROWS = 500_000
-_NUMBER, _NAME, _UNIT = "\ue000", "\ue001", "\ue002"
-#: Kinds of windows: matched by template, or by their tokens as they stand.  An item is looked for by all its windows and by some.
-PLAIN, LITERAL = 0, 1
-_VIEWS = ((PLAIN, LITERAL), (PLAIN,))
+_NUMBER, _NAME, _UNIT, _MAYBE = "\ue000", "\ue001", "\ue002", "\ue003"
+#: Kinds of windows: matched by template, by their tokens as they stand, or by the template of the second reading.  An item is looked for by all its windows and by some.
+PLAIN, LITERAL, RENAMED = 0, 1, 2
+_VIEWS = ((PLAIN, LITERAL), (PLAIN,), (PLAIN, RENAMED))
 # Units that may follow a number.
 UNITS = "km kg cm mm m g mg lb lbs oz ft in mi mph kmh l ml s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years mile miles meter meters metre metres dollar dollars euro euros percent degrees"
 
 
 def tokens(text: Column) -> Column:
     """Words in lower case; a placeholder's token begins with its sign, its value follows."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<![\p{L}\p{N}_])[0-9]+(?:[.,][0-9]+)*", f" {_NUMBER}$0 ")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Z}&&[^ ]][\s\p{Z}]*| [\s\p{Z}]+", " ")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])[0-9]+(?:[.,][0-9]+)*", f" {_NUMBER}$0 ")
     t = F.regexp_replace(t, r"(?<=[0-9])[.,](?=[0-9])", "_")
     t = F.regexp_replace(t, rf"({_NUMBER}[0-9_]+)\s+({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])", f"$1 {_UNIT}$2")
     t = F.regexp_replace(t, r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+", f"{_NAME}$0")
-    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}_{_NUMBER}-{_UNIT}]+"), lambda x: x != "")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}_{_NUMBER}-{_UNIT}])\p{{Lu}}\p{{Ll}}+", f"{_MAYBE}$0")
+    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}_{_NUMBER}-{_MAYBE}]+"), lambda x: x != "")
 
 
 def _is_slot(token: Column) -> Column:
     return F.substring(token, 1, 1).isin(_NUMBER, _NAME, _UNIT)
 
 
+def _may_be_name(token: Column) -> Column:
+    return F.substring(token, 1, 1) == _MAYBE
+
+
+def _read(toks: Column, names: bool) -> Column:
+    """The tokens in the first reading, or with names in the second."""
+    return F.transform(toks, lambda x: F.when(_may_be_name(x), F.concat(F.lit(_NAME if names else ""), F.substring(x, 2, 1 << 30))).otherwise(x))
+
+
 def _template(toks: str) -> Column:
     return F.transform(toks, lambda x: F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(x))
 
@@ -81,6 +93,14 @@ def _windows(length: int, kinds: set[int]) -> Column:
     return F.when(count > 0, found).otherwise(F.array().cast("array<long>"))
 
 
+def _renamed_windows(length: int) -> Column:
+    """The same in the second reading, null where it doesn't differ."""
+    count = F.size("second") - length + 1
+    differs = lambda i: F.array_contains(F.slice("maybe", i, length), F.lit(True))
+    found = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.when(differs(i), F.xxhash64(F.slice("second", i, length))))
+    return F.when((count > 0) & F.array_contains("maybe", F.lit(True)), found).otherwise(F.array().cast("array<long>"))
+
+
 def _length(n: Column) -> Column:
     """Of the windows of an item of n tokens."""
     return F.when(n <= WINDOW, n).otherwise(F.least(F.lit(WINDOW), F.expr("(n - 1) div 2").cast("int")))
@@ -96,19 +116,21 @@ def _covered(which: Column | None = None) -> Column:
 def _items(benchmark: DataFrame) -> DataFrame:
     """A row for each window of each item: window (hash), length, item_id, place, windows, slots (the window's tokens)."""
     base = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    own = base.select("item_id", "text", tokens(F.col("text")).alias("toks"), F.lit(False).alias("within"))
+    own = base.select("item_id", "text", _read(tokens(F.col("text")), False).alias("toks"), F.lit(False).alias("within"), F.lit(False).alias("names"))
     # within a sentence of another text, an item's first word would be read as a name
-    other = base.select("item_id", "text", F.slice(tokens(F.concat(F.lit("x "), F.ltrim("text"))), 2, 1 << 30).alias("toks"), F.lit(True).alias("within"))
+    other = base.select("item_id", "text", _read(F.slice(tokens(F.concat(F.lit("x "), F.regexp_replace("text", r"^[\s\p{Z}]+", ""))), 2, 1 << 30), False).alias("toks"), F.lit(True).alias("within"), F.lit(False).alias("names"))
+    renamed = base.select("item_id", "text", _read(tokens(F.col("text")), True).alias("toks"), F.lit(False).alias("within"), F.lit(True).alias("names"))
     # read again from a table, so that Spark doesn't put the reading of tokens into what follows, once for each use
-    both = common.materialise(own.unionByName(other), "items").where(F.size("toks") > 0)
+    both = common.materialise(own.unionByName(other).unionByName(renamed), "items").where(F.size("toks") > 0)
     both = both.withColumn("n", F.size("toks")).withColumn("length", _length(F.col("n"))).withColumn("template", _template("toks"))
     at = F.sequence(F.lit(1), F.size("toks") - F.col("length") + 1)
-    each = both.select("item_id", "text", "n", "length", "toks", "template", "within", F.explode(at).alias("place"))
-    cut = each.where("not within or place = 1").select("item_id", F.xxhash64("text").alias("version"), "n", "length", "place", F.slice("template", F.col("place"), F.col("length")).alias("t"), F.slice("toks", F.col("place"), F.col("length")).alias("slots"))
-    cut = cut.withColumn("kind", F.when((F.col("n") < SHORTEST) | _is_literal(F.col("t"), F.col("length")), LITERAL).otherwise(PLAIN))
+    each = both.select("item_id", "text", "n", "length", "toks", "template", "within", "names", F.explode(at).alias("place"))
+    cut = each.where("not within or place = 1").select("item_id", F.xxhash64("text").alias("version"), "names", "n", "length", "place", F.slice("template", F.col("place"), F.col("length")).alias("t"), F.slice("toks", F.col("place"), F.col("length")).alias("slots"))
+    cut = cut.withColumn("kind", F.when((F.col("n") < SHORTEST) | _is_literal(F.col("t"), F.col("length")), LITERAL).when(F.col("names"), RENAMED).otherwise(PLAIN))
+    cut = cut.where(~F.col("names") | (F.col("kind") == RENAMED))  # literal ones are there already
     by = F.when(F.col("kind") == LITERAL, F.xxhash64(_literal("slots"), F.lit(LITERAL))).otherwise(F.xxhash64("t"))
     windows = cut.select(by.alias("window"), "kind", "n", "length", "item_id", "version", "place", "slots")
-    windows = common.materialise(windows.dropDuplicates(["item_id", "version", "place", "window"]), "windows")
+    windows = common.materialise(windows.dropDuplicates(["item_id", "version", "place", "window", "kind"]), "windows")
     totals = F.array(*[_covered(F.col("kind").isin(*kinds)) for kinds in _VIEWS])
     whole = windows.groupBy("item_id", "version").agg(F.countDistinct("place").alias("windows"), totals.alias("totals"))
     # so many tokens one replaced word leaves at least
@@ -124,14 +146,20 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFra
         kinds.setdefault(r["length"], set()).add(r["kind"])
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), tokens(F.col("text").cast("string")).alias("toks")).withColumn("template", _template("toks"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), tokens(F.col("text").cast("string")).alias("signed"))
+    docs = docs.withColumn("toks", _read("signed", False)).withColumn("template", _template("toks")).withColumn("maybe", F.transform("signed", _may_be_name))
+    docs = docs.withColumn("second", F.transform("signed", lambda x: F.when(_may_be_name(x), F.lit(_NAME)).when(_is_slot(x), F.substring(x, 1, 1)).otherwise(x)))
     docs = docs.withColumn("n_slots", F.size(F.filter("toks", _is_slot))).withColumn("plain", _literal("toks"))
     parts = None
     for length in sorted(kinds) or [WINDOW]:
-        # outer: else Spark would filter by the windows, written out, before it makes them
-        each = docs.select("doc_id", "text_hash", "toks", _windows(length, kinds.get(length, set())).alias("hashes")).select("doc_id", "text_hash", "toks", F.posexplode_outer("hashes").alias("at", "window"))
-        hit = each.join(items.where(F.col("length") == length), "window").select("doc_id", "text_hash", "item_id", "version", "place", "kind", "length", "windows", "totals", "least", (F.col("at") - F.col("place")).alias("offset"), F.slice("toks", F.col("at") + 1, length).alias("theirs"), "slots")
-        parts = hit if parts is None else parts.unionByName(hit)
+        have = kinds.get(length, set())
+        first = (_windows(length, have), [PLAIN, LITERAL, RENAMED])
+        for hashes, of in (first, (_renamed_windows(length), [RENAMED])) if RENAMED in have else (first,):
+            # outer: else Spark would filter by the windows, written out, before it makes them
+            each = docs.select("doc_id", "text_hash", "toks", hashes.alias("hashes")).select("doc_id", "text_hash", "toks", F.posexplode_outer("hashes").alias("at", "window"))
+            wanted = items.where((F.col("length") == length) & F.col("kind").isin(of))
+            hit = each.join(wanted, "window").select("doc_id", "text_hash", "item_id", "version", "place", "kind", "length", "windows", "totals", "least", (F.col("at") - F.col("place")).alias("offset"), F.slice("toks", F.col("at") + 1, length).alias("theirs"), "slots")
+            parts = hit if parts is None else parts.unionByName(hit)
     pairs = F.filter(F.zip_with("slots", "theirs", lambda a, b: F.struct(a.alias("a"), F.concat(F.substring(a, 1, 1), _value(b)).alias("b"))), lambda p: _is_slot(p["a"]))
     # each window of a text is hit once for each place of an item; what is collected is bounded by the item
     hits = common.materialise(parts.select("*", pairs.alias("pairs")).drop("slots", "theirs"), "hits")
@@ -148,7 +176,7 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFra
     views = F.array(*[F.when(F.col("kind").isin(*ks), F.struct(F.lit(v).alias("view"), F.get("totals", F.lit(v)).alias("total"))) for v, ks in enumerate(_VIEWS)])
     met = met.withColumn("v", F.explode(F.array_compact(views))).select("*", "v.view", "v.total").withColumn("least", F.least("least", "total"))
     # of a place's windows, the nearest to the anchor
-    met = met.groupBy(*key, "view", "anchor", "place", "length", "windows", "total", "least", "far").agg(F.min_by(F.struct("pairs", from_here.alias("away")), F.struct(from_here, "offset")).alias("x"))
+    met = met.groupBy(*key, "view", "anchor", "place", "length", "windows", "total", "least", "far").agg(F.min_by(F.struct("pairs", from_here.alias("away")), F.struct(from_here, "offset", -F.col("kind"))).alias("x"))
     radius = F.explode(F.array(F.lit(0), F.lit(WINDOW), F.col("far").cast("int"))).alias("radius")
     met = met.select("*", radius).where(F.col("x.away") <= F.col("radius"))
     aligned = met.groupBy(*key, "view", "anchor", "radius", "windows", "total", "least").agg(F.countDistinct("place").alias("matched"), _covered().alias("covered"), F.array_distinct(F.flatten(F.collect_set("x.pairs"))).alias("pairs"))

@@ -121,3 +121,14 @@ def test_numbers_and_short_items(spark):
     items = [(1, sums), (2, more), (3, "17 * 23"), (4, "Name it")]
     docs = [(1, f"Now: {sums} = ?"), (2, "So " + more + ", done"), (3, "say 17 * 23 is what"), (4, "They name it so."), (5, sums.replace("30", "31")), (6, more.replace("3 4", "4 3").replace("8 9", "9 8")), (7, "17 * 24"), (8, "name all of it")]
     assert found(spark, docs, items) == {(i, i) for i in range(1, 5)}
+
+
+def test_renamed_names_wherever_they_stand(spark):
+    ask = 'Tom has 5 apples. Sue has 3 apples. Tom gives Sue 2 of them. "Sue, how many are left?" asks Tom at the end of the day.'
+    told = "In the morning the old baker called for Anna and Bob to carry 12 loaves of fresh bread to the market."
+    other = ask.replace("Tom", "Ben").replace("Sue", "Lea")
+    docs = [(1, other), (2, "Here is one.\n" + other.replace("5", "7")), (3, "It said:  " + other), (4, ask.replace(" Sue", "\n Sue").replace(" Tom", "  Tom")), (5, ask.replace("Sue", "Tom"))]
+    docs += [(6, told.replace(" Anna", "\nAnna").replace(" Bob", "\u00a0Bob")), (7, told.replace(" Anna", "  Carla").replace(" Bob", "\t Dan"))]
+    begins = "Tom counted every red apple in the old basket twice before the evening meal was ready"
+    docs += [(8, "It is said that, Ben" + begins[3:])]
+    assert found(spark, docs, [(1, ask), (2, told), (8, begins)]) == {(8, 8)} | {(1, 1), (2, 1), (3, 1), (4, 1), (6, 2), (7, 2)}
