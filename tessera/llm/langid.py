@@ -3,7 +3,7 @@
 A text is the L2-normalised TF-IDF vector of its hashed letter trigrams (FEATURES
 of them); each language has CLUSTERS centroids found by spherical k-means; the
 language of the centroid with the largest cosine wins.  A text is *rejected* if its
-cosine is under a third of the least that training texts of like length had; the cosine
+cosine is under REJECT of the least that training texts of its language had; the cosine
 of a text shorter than those is expected to fall as the root of its length.
 
 Training reads at most SAMPLE labelled texts of each language, those with
@@ -29,7 +29,7 @@ FEATURES = 4096
 CLUSTERS = 3
 SAMPLE = 400
 LEAST_TEXTS = 5
-REJECT = 1 / 3
+REJECT = 0.7
 UNKNOWN = "und"
 
 
@@ -111,17 +111,18 @@ def _centroids(idf):
 class Model:
     """Centroids (rows), their languages, IDF and the rejection limits by length; its size depends on the number of languages alone."""
 
-    def __init__(self, langs: list[str], matrix: np.ndarray, idf: np.ndarray, limits: dict[int, float]):
+    def __init__(self, langs: list[str], matrix: np.ndarray, idf: np.ndarray, limits: dict[tuple[str, int], float]):
         self.langs, self.matrix, self.idf, self.limits = langs, matrix, idf, limits
 
-    def limit(self, grams: int) -> float:
-        """The least cosine of training texts of that length."""
-        b, known = _bucket(grams), sorted(self.limits)
+    def limit(self, lang: str, grams: int) -> float:
+        """The least cosine of training texts of that language, less for a text shorter than those.
+
+        Over all its lengths: those with few texts have too high a least.
+        """
+        known = {k: v for (x, k), v in self.limits.items() if x == lang}
         if not known:
             return 0.0
-        if b < known[0]:
-            return self.limits[known[0]] * 2 ** ((b - known[0]) / 2)
-        return self.limits[max(k for k in known if k <= b)]
+        return min(known.values()) * 2 ** (min(0, _bucket(grams) - min(known)) / 2)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -139,10 +140,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     found = texts.groupBy("lang").applyInPandas(_centroids(idf), "lang string, centroid binary, bucket long, least double").collect()
     rows = sorted((r.lang, bytes(r.centroid)) for r in found if r.centroid is not None)
-    limits: dict[int, float] = {}
-    for r in found:
-        if r.centroid is None:
-            limits[int(r.bucket)] = min(float(r.least), limits.get(int(r.bucket), 1.0))
+    limits = {(r.lang, int(r.bucket)): float(r.least) for r in found if r.centroid is None}
     matrix = np.array([np.frombuffer(c, np.float32) for _, c in rows], np.float32).reshape(-1, FEATURES)
     return Model([lang for lang, _ in rows], matrix, idf, limits)
 
@@ -162,7 +160,7 @@ def _predict(model):
                     best = near.argmax(1)
                     for i, b, s in zip(there, best.tolist(), near.max(1).tolist(), strict=True):
                         lang[i], score[i] = m.langs[b], min(1.0, max(0.0, s))
-                        reject[i] = s < REJECT * m.limit(int(rows[i].sum()))
+                        reject[i] = s < REJECT * m.limit(m.langs[b], int(rows[i].sum()))
                 langs += lang
                 scores += score
                 out += reject

@@ -47,3 +47,13 @@ def test_edges(spark):
     none = langid.fit(df.where(F.lit(False)))
     assert {r.lang_pred for r in langid.predict(df, none, ["doc_id"]).collect()} == {"und"}
     assert langid.predict(df.where(F.lit(False)), none, ["doc_id"]).count() == 0
+
+
+def test_language_never_learnt_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    learnt = docs.where(~langid.held_out(F.col("doc_id")))
+    for lang in ("es", "fr", "de"):
+        model = langid.fit(learnt.where(F.col("lang") != lang))
+        gone = langid.predict(docs, model, ["lang"]).where(F.col("lang") == lang).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+        print("GONE", lang, gone)
+        assert gone >= 0.9, (lang, gone)
