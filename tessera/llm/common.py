@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
@@ -67,6 +68,17 @@ def ship_package(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+def slices(batch, column: int, chars: int):
+    """The rows of an Arrow batch in runs of about so many bytes of a text column, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+    at, n = 0, batch.num_rows
+    while at < n:
+        before = sizes[at - 1] if at else 0
+        to = max(at + 1, int(sizes.searchsorted(before + chars, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def fresh_name(df: DataFrame, wanted: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

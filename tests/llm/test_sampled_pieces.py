@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -25,12 +26,12 @@ def paths(s, text):
 
     def walk(e):
         if not e:
-            yield (), 0.0
+            yield (), 1.0
         for b, c, w in ends[e - 1] if e else ():
             for p, v in walk(b):
-                yield (*p, c), v + w
+                yield (*p, c), v * w
 
-    return {p: math.exp(v) for p, v in walk(len(text))}
+    return dict(walk(len(text)))
 
 
 def test_samples_have_the_lattice_distribution(sampler):
@@ -38,7 +39,7 @@ def test_samples_have_the_lattice_distribution(sampler):
         all_ = paths(sampler, text)
         whole, n = sum(all_.values()), 20_000
         got = Counter(tuple(x.tolist()) for x in sampler.sample([text] * n, [str(i) for i in range(n)]))
-        want = {tuple(sampler._spell(__import__("numpy").array(p)).tolist()): w / whole for p, w in all_.items()}
+        want = {tuple(sampler._spell(np.array(p), np.array([0, len(p)]))[0].tolist()): w / whole for p, w in all_.items()}
         assert set(got) <= set(want)
         for p, share in want.items():
             assert abs(got[p] / n - share) < 5 * math.sqrt(share * (1 - share) / n) + 2e-4
@@ -57,6 +58,40 @@ def test_lossless_and_independent_of_batches(sampler):
     assert any(a.tolist() != b.tolist() for a, b in zip(sampler.sample(texts[:5], keys[:5]), sampler.sample(texts[:5], keys[5:10]), strict=True))
 
 
+def exact(s, unit):
+    """The thresholds of each node of a unit, by sums over its arcs in logarithms."""
+    total, out = [0.0], []
+    for here in s.arcs(unit):
+        logs = [total[b] + math.log(w) for b, _, w in here]
+        top = max(logs)
+        sizes = [math.exp(x - top) for x in logs]
+        total.append(top + math.log(sum(sizes)))
+        out.append([sum(sizes[: i + 1]) / sum(sizes) for i in range(len(here))])
+    return out
+
+
+def limits(s, unit):
+    end = s.unit_last[s.unit[unit]] + 1
+    return [s.limit[a:b].tolist() for a, b in zip(s.first[end - len(unit) : end], s.first[end - len(unit) + 1 : end + 1], strict=True)]
+
+
+def test_thresholds_depend_on_the_unit_alone(sampler):
+    r = random.Random(3)
+    text = "unbelievable internationalisation, " + "".join(r.choice("abcdeinrst日é") for _ in range(31)) + " " + "aab" * 4000
+    used = sp.Sampler(PATH)
+    while len(used.first) < 2_000_000:
+        used._learn([" " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz日é") for _ in range(r.randint(1, 12))) + str(len(used.unit)) + "".join(r.choice("xyz") for _ in range(3)) + str(i) for i in range(20_000)])
+    units = [u for u in dict.fromkeys(used._units(text)) if u not in used.unit]
+    used._learn(units)
+    fresh = sp.Sampler(PATH)
+    for u in units:
+        fresh._learn([u])
+        assert limits(fresh, u) == limits(used, u)
+        for got, want in zip(limits(fresh, u), exact(fresh, u), strict=True):
+            assert got[-1] == 1 << 53
+            assert all(abs(g / (1 << 53) - w) < 1e-9 for g, w in zip(got, want, strict=True))
+
+
 def test_library_decodes_them_too(sampler):
     import sentencepiece
 
