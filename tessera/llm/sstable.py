@@ -24,14 +24,14 @@ no shard; other columns are ignored.
 from __future__ import annotations
 
 import bisect
-import re
+import os
 import struct
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -52,80 +52,92 @@ _SIGN = 1 << 63
 
 #: Words seen by this Python worker.  It only saves time; dropping it changes nothing.
 _CACHE: dict[str, "WordEncoder"] = {}
-WORDS_KEPT = 400_000
-PARTS_KEPT = 900_000
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)((?:[0-9]|[!-&(-/:-;=?-@\[-`{-~]+)*)\Z")
-_TAIL = re.compile(r"[0-9]|[^0-9]+")
+WORDS_KEPT = 600_000
+IDS_KEPT = 6_000_000
+CHARS_AT_ONCE = 1 << 20
+_PUNCTUATED = r"([a-z])([,.;:!?]) "
+_END = " \x00 "  # stands between words; a word holding it goes to the library alone
 
 
 class WordEncoder:
     """The tokenizers library over distinct words.
 
-    The tokenizer drops white space and never joins what it separates, so a
-    text's ids are those of its words, one after another.  Each distinct word is
-    encoded once.  A Latin word with trailing ASCII punctuation is the pair that
-    the tokenizer's own pre-tokeniser makes of it; apostrophes and '<' (contractions and
-    special tokens) and everything else go to the library whole.
+    The tokenizer lowers, drops white space and never joins what it separates, so a
+    text's ids are those of its words, one after another.  It also parts letters
+    from punctuation, so that one sign after a letter and before a blank is a word of its own.  Each
+    distinct word goes to the library once, many in a text with a mark between them.  Texts that may hold
+    a special token go to it whole, for those are found in upper and lower case as they stand.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = np.array(self.tokenizer.encode(_END, add_special_tokens=False).ids, np.uint32)
+        if len(self.mark) != 1:
+            raise ValueError("the tokenizer has no single id for the mark between words")
         self.clear()
 
     def clear(self) -> None:
-        self.part: dict[str, bytes] = {}
-        self.clear_words()
-
-    def clear_words(self) -> None:
         self.word: dict[str, int] = {}
         self.flat = np.empty(0, np.uint32)
         self.start = np.zeros(1, np.int64)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, words: list[str]) -> None:
-        if len(self.part) > PARTS_KEPT:
-            self.part = {}
-        parts: dict[str, None] = {}
-        split: list[tuple[str, list[str]]] = []
-        for w in words:
-            m = _SIMPLE.match(w)
-            ps = ([m[1].lower()] if m[1] else []) + (_TAIL.findall(m[2]) if m[2] else []) if m else [w]
-            split.append((w, ps))
-            for p in ps:
-                if p not in self.part:
-                    parts[p] = None
-        new = list(parts)
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.part[p] = array("I", e.ids).tobytes()
-        n, flat = len(self.word), []
-        for w, ps in split:
-            flat.append(self.part[ps[0]] if len(ps) == 1 else b"".join(map(self.part.__getitem__, ps)))
-            self.word[w] = n
-            n += 1
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(flat), np.uint32)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) // 4)])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [w for w in words if "\x00" not in w]
+        found, sizes = [], []
+        for i in range(0, len(plain), 1000):
+            some = plain[i : i + 1000]
+            ids = np.array(self._ids([_END.join(["", *some, ""])])[0], np.uint32)
+            ends = np.flatnonzero(ids == self.mark[0])
+            if len(ends) != len(some) + 1:
+                raise ValueError("words and marks don't match")
+            found.append(np.delete(ids, ends))
+            sizes.append(np.diff(ends) - 1)
+        if odd := [w for w in words if "\x00" in w]:
+            alone = [np.array(x, np.uint32) for x in self._ids(odd)]
+            found += alone
+            sizes.append(np.array([len(x) for x in alone]))
+        n = len(self.word)
+        self.word.update(zip([*plain, *odd], range(n, n + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, *found])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and the ids of each."""
-        if len(self.word) > WORDS_KEPT:
-            self.clear_words()
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := list({w for ws in words for w in ws if w not in self.word}):
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        special = pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)
+        if special.any():
+            return self._with_special(column, special)
+        # words stand between blanks; white space of other kinds is the library's
+        spaced = pc.replace_substring(pc.ascii_lower(column), "\n", " ")
+        words = pc.split_pattern(pc.replace_substring_regex(spaced, _PUNCTUATED, r"\1 \2 "), " ")
+        coded = words.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.word) > WORDS_KEPT or len(self.flat) > IDS_KEPT:
+            self.clear()
+        if new := [w for w in names if w not in self.word]:
             self.learn(new)
-        get = self.word.__getitem__
-        counts = np.array([len(w) for w in words], np.int64)
-        at = np.fromiter((i for ws in words for i in map(get, ws)), np.int64, int(counts.sum()))
-        begin, size = self.start[at], self.start[at + 1] - self.start[at]
+        known = np.fromiter(map(self.word.__getitem__, names), np.int64, len(names))
+        at = known[coded.indices.to_numpy()] if len(names) else known
+        size = self.start[at + 1] - self.start[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(begin - (ends - size), size)]
-        bounds = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.flat[np.arange(total) + np.repeat(self.start[at] - (ends - size), size)]
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
         ends = np.concatenate([[0], ends])
         return ids, np.diff(ends[bounds])
 
+    def _with_special(self, column: pa.Array, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = self.encode(column.filter(pa.array(~special)))
+        rest, whole = iter(np.split(ids, np.cumsum(sizes)[:-1])), iter(self._ids(column.filter(pa.array(special)).to_pylist()))
+        each = [np.array(next(whole), np.uint32) if s else next(rest) for s in special.tolist()]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
 
 def encoder(path: str) -> WordEncoder:
     if path not in _CACHE:
@@ -163,13 +175,10 @@ def _varint(n: int) -> bytes:
 
 def _read_varint(b: bytes, at: int) -> tuple[int, int]:
     n = shift = 0
-    while True:
-        x = b[at]
-        at += 1
+    while (x := b[at]) > 127:
         n |= (x & 127) << shift
-        if x < 128:
-            return n, at
-        shift += 7
+        at, shift = at + 1, shift + 7
+    return n | x << shift, at + 1
 
 
 def _bloom_places(key: bytes, bits: int) -> list[int]:
@@ -193,9 +202,7 @@ class Writer:
             raise ValueError("keys must ascend")
         shared = 0
         if self._n:
-            most = min(len(key), len(self._last))
-            while shared < most and key[shared] == self._last[shared]:
-                shared += 1
+            shared = len(os.path.commonprefix((key, self._last)))
         else:
             self._first = key
         head = _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:]
@@ -301,6 +308,19 @@ _MANIFEST = "shard int, path string, entries long, tokens long"
 _SCAN = "doc_id long, start long, n_tokens long, ids binary"
 
 
+def _put(files: pafs.FileSystem, temp: str, path: str) -> None:
+    """Give a finished shard its name.  A task that runs again finds what it wrote before, with the same bytes."""
+    if files.get_file_info(path).type == pafs.FileType.File:
+        files.delete_file(temp)
+        return
+    try:
+        files.move(temp, path)
+    except OSError:  # another attempt was there first
+        if files.get_file_info(path).type != pafs.FileType.File:
+            raise
+        files.delete_file(temp)
+
+
 def _writer(folder: str, tokenizer: str, end_id: int):
     def write(batches):
         from pyspark import TaskContext
@@ -312,10 +332,9 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         files, path = pafs.FileSystem.from_uri(final)
         temp, out, w = f"{path}.{uuid.uuid4().hex}.tmp", None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for some in common.slices(batch, 1, CHARS_AT_ONCE):
                 keys = some.column(0).to_pylist()
-                ids, sizes = enc.encode([t or "" for t in some.column(1).to_pylist()])
+                ids, sizes = enc.encode(some.column(1))
                 if out is None:
                     files.create_dir(path.rpartition("/")[0], recursive=True)
                     out = files.open_output_stream(temp)
@@ -330,7 +349,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         if out is not None:
             w.close()
             out.close()
-            files.move(temp, path)  # a task that runs again puts the same bytes in the same place
+            _put(files, temp, path)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [final], "entries": [w.entries], "tokens": [w.tokens]})
 
     return write
