@@ -2,8 +2,10 @@
 
 A text's tokens are its words in lower case, with numbers, capitalised names within a
 sentence and units after numbers replaced by typed placeholders.  In a second reading capitalised words anywhere else (at the
-start of a sentence or line, after a quote or digit) are names too.  All windows of WINDOW tokens of all texts
-are hash-joined with those of the benchmark.  A text holds an item if, along one
+start of a sentence or line, after a quote or digit) are names too.  Windows of WINDOW tokens of all texts
+are hash-joined with those of the benchmark: each window of an item is looked up by one pair of neighbouring tokens (gram) in it,
+the one with the most letters, at every place where that stands in a text, and counts if the hash of all its tokens there is
+the same.  A text holds an item if, along one
 alignment, the matching windows cover at least SHARE of the item's tokens and the slots are
 consistent: each value of the item stands for one value in the text and each of those
 for one of the item.  So a question asked anew with other numbers or names is found, while
@@ -41,38 +43,32 @@ UNITS = "km kg cm mm m g mg lb lbs oz ft in mi mph kmh l ml s sec secs second se
 def tokens(text: Column) -> Column:
     """Words in lower case; a placeholder's token begins with its sign, its value follows."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Z}&&[^ ]][\s\p{Z}]*| [\s\p{Z}]+", " ")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])[0-9]+(?:[.,][0-9]+)*", f" {_NUMBER}$0 ")
-    t = F.regexp_replace(t, r"(?<=[0-9])[.,](?=[0-9])", "_")
+    # a character that few texts have begins each pattern, what stands before it is looked at after that
+    t = F.regexp_replace(t, r"[0-9](?<![\p{L}\p{N}_][0-9])[0-9]*(?:[.,][0-9]+)*", f" {_NUMBER}$0 ")
+    t = F.regexp_replace(t, r"[.,](?<=[0-9][.,])(?=[0-9])", "_")
     t = F.regexp_replace(t, rf"({_NUMBER}[0-9_]+)\s+({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])", f"$1 {_UNIT}$2")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+", f"{_NAME}$0")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}_{_NUMBER}-{_UNIT}])\p{{Lu}}\p{{Ll}}+", f"{_MAYBE}$0")
+    t = F.regexp_replace(t, rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}_{_NUMBER}-{_UNIT}]\p{{Lu}})\p{{Ll}}+", f"{_MAYBE}$0")
+    t = F.regexp_replace(t, rf"{_MAYBE}(?<=[\p{{Ll}},;:] {_MAYBE})", _NAME)
     return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}_{_NUMBER}-{_MAYBE}]+"), lambda x: x != "")
 
 
-def _is_slot(token: Column) -> Column:
-    return F.substring(token, 1, 1).isin(_NUMBER, _NAME, _UNIT)
-
-
-def _may_be_name(token: Column) -> Column:
-    return F.substring(token, 1, 1) == _MAYBE
-
-
-def _read(toks: Column, names: bool) -> Column:
-    """The tokens in the first reading, or with names in the second."""
-    return F.transform(toks, lambda x: F.when(_may_be_name(x), F.concat(F.lit(_NAME if names else ""), F.substring(x, 2, 1 << 30))).otherwise(x))
+def _sign(token: Column) -> Column:
+    return F.substring(token, 1, 1)
 
 
-def _template(toks: str) -> Column:
-    return F.transform(toks, lambda x: F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(x))
+def _is_slot(token: Column) -> Column:
+    return _sign(token).isin(_NUMBER, _NAME, _UNIT)
 
 
-def _literal(toks) -> Column:
-    """The tokens without signs."""
-    return F.transform(toks, _value)
+def _value(token: Column) -> Column:
+    """The token without its sign.  Signs sort after nearly all letters, so that most tokens need one look."""
+    return F.when(token < _NUMBER, token).when(_sign(token).isin(_NUMBER, _NAME, _UNIT, _MAYBE), F.substring(token, 2, 1 << 30)).otherwise(token)
 
 
-def _value(token: Column) -> Column:
-    return F.when(_is_slot(token), F.substring(token, 2, 1 << 30)).otherwise(token)
+def _form(token: Column, names: bool = False) -> Column:
+    """What stands for the token in a template of the first reading, or with names in the second."""
+    maybe = F.lit(_NAME) if names else F.substring(token, 2, 1 << 30)
+    return F.when(token < _NUMBER, token).when(_is_slot(token), _sign(token)).when(_sign(token) == _MAYBE, maybe).otherwise(token)
 
 
 def _is_literal(template: Column, length) -> Column:
@@ -80,25 +76,21 @@ def _is_literal(template: Column, length) -> Column:
     return F.size(F.filter(template, lambda x: x.isin(_NUMBER, _NAME, _UNIT))) * 2 > length
 
 
-def _windows(length: int, kinds: set[int]) -> Column:
-    """Hashes of the windows, in order, of the kinds that items have."""
-    count = F.size("template") - length + 1
-    by_template = lambda i: F.xxhash64(F.slice("template", i, length))
-    by_tokens = lambda i: F.xxhash64(F.slice("plain", i, length), F.lit(LITERAL))
-    places = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
-    found = F.transform(places, by_tokens if length < SHORTEST else by_template)
-    if LITERAL in kinds and length >= SHORTEST:
-        either = F.transform(places, lambda i: F.when(_is_literal(F.slice("template", i, length), length), by_tokens(i)).otherwise(by_template(i)))
-        found = F.when(F.col("n_slots") * 2 > length, either).otherwise(found)
-    return F.when(count > 0, found).otherwise(F.array().cast("array<long>"))
+#: How grams are read: in the first reading, as they stand, in the second reading, or as one token for windows of one.
+FIRST, VALUES, SECOND, SINGLE = 0, 1, 2, 3
+
+
+def _gram(a: Column, b: Column | None, reading: int) -> Column:
+    if reading == SINGLE:
+        return F.xxhash64(_value(a), F.lit(SINGLE))
+    read = {FIRST: _form, VALUES: _value, SECOND: lambda x: _form(x, True)}[reading]
+    return F.xxhash64(read(a), read(b), F.lit(reading))
 
 
-def _renamed_windows(length: int) -> Column:
-    """The same in the second reading, null where it doesn't differ."""
-    count = F.size("second") - length + 1
-    differs = lambda i: F.array_contains(F.slice("maybe", i, length), F.lit(True))
-    found = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.when(differs(i), F.xxhash64(F.slice("second", i, length))))
-    return F.when((count > 0) & F.array_contains("maybe", F.lit(True)), found).otherwise(F.array().cast("array<long>"))
+def _hash(toks: str, kind: Column) -> Column:
+    """Of a window's tokens, by which a text's and an item's are the same."""
+    plain = lambda names: F.xxhash64(F.transform(toks, lambda x: _form(x, names)))
+    return F.when(kind == LITERAL, F.xxhash64(F.transform(toks, _value), F.lit(LITERAL))).when(kind == RENAMED, plain(True)).otherwise(plain(False))
 
 
 def _length(n: Column) -> Column:
@@ -114,23 +106,47 @@ def _covered(which: Column | None = None) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """A row for each window of each item: window (hash), length, item_id, place, windows, slots (the window's tokens)."""
+    """A row for each window of each item: gram (hash), from (place of the gram in the window), reading, window (hash), kind, length, item_id, place, windows, slots (the window's tokens)."""
     base = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    own = base.select("item_id", "text", _read(tokens(F.col("text")), False).alias("toks"), F.lit(False).alias("within"), F.lit(False).alias("names"))
+    own = base.select("item_id", "text", tokens(F.col("text")).alias("toks"), F.lit(False).alias("within"))
     # within a sentence of another text, an item's first word would be read as a name
-    other = base.select("item_id", "text", _read(F.slice(tokens(F.concat(F.lit("x "), F.regexp_replace("text", r"^[\s\p{Z}]+", ""))), 2, 1 << 30), False).alias("toks"), F.lit(True).alias("within"), F.lit(False).alias("names"))
-    renamed = base.select("item_id", "text", _read(tokens(F.col("text")), True).alias("toks"), F.lit(False).alias("within"), F.lit(True).alias("names"))
+    other = base.select("item_id", "text", F.slice(tokens(F.concat(F.lit("x "), F.regexp_replace("text", r"^[\s\p{Z}]+", ""))), 2, 1 << 30).alias("toks"), F.lit(True).alias("within"))
     # read again from a table, so that Spark doesn't put the reading of tokens into what follows, once for each use
-    both = common.materialise(own.unionByName(other).unionByName(renamed), "items").where(F.size("toks") > 0)
-    both = both.withColumn("n", F.size("toks")).withColumn("length", _length(F.col("n"))).withColumn("template", _template("toks"))
+    both = common.materialise(own.unionByName(other), "items").where(F.size("toks") > 0)
+    both = both.withColumn("n", F.size("toks")).withColumn("length", _length(F.col("n")))
+    both = both.withColumn("names", F.explode(F.when(F.col("within"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
     at = F.sequence(F.lit(1), F.size("toks") - F.col("length") + 1)
-    each = both.select("item_id", "text", "n", "length", "toks", "template", "within", "names", F.explode(at).alias("place"))
-    cut = each.where("not within or place = 1").select("item_id", F.xxhash64("text").alias("version"), "names", "n", "length", "place", F.slice("template", F.col("place"), F.col("length")).alias("t"), F.slice("toks", F.col("place"), F.col("length")).alias("slots"))
-    cut = cut.withColumn("kind", F.when((F.col("n") < SHORTEST) | _is_literal(F.col("t"), F.col("length")), LITERAL).when(F.col("names"), RENAMED).otherwise(PLAIN))
+    each = both.select("item_id", "text", "n", "length", "toks", "within", "names", F.explode(at).alias("place")).where("not within or place = 1")
+    cut = each.select("item_id", F.xxhash64("text").alias("version"), "names", "n", "length", "place", F.slice("toks", F.col("place"), F.col("length")).alias("signed"))
+    form = F.transform("signed", lambda x: F.when(F.col("names"), _form(x, True)).otherwise(_form(x)))
+    cut = cut.withColumn("kind", F.when((F.col("n") < SHORTEST) | _is_literal(form, F.col("length")), LITERAL).when(F.col("names"), RENAMED).otherwise(PLAIN))
     cut = cut.where(~F.col("names") | (F.col("kind") == RENAMED))  # literal ones are there already
-    by = F.when(F.col("kind") == LITERAL, F.xxhash64(_literal("slots"), F.lit(LITERAL))).otherwise(F.xxhash64("t"))
-    windows = cut.select(by.alias("window"), "kind", "n", "length", "item_id", "version", "place", "slots")
-    windows = common.materialise(windows.dropDuplicates(["item_id", "version", "place", "window", "kind"]), "windows")
+    maybe_name = lambda x: F.concat(F.lit(_NAME), F.substring(x, 2, 1 << 30))
+    slots = F.transform("signed", lambda x: F.when(_sign(x) != _MAYBE, x).when(F.col("names"), maybe_name(x)).otherwise(F.substring(x, 2, 1 << 30)))
+    windows = cut.select("signed", "kind", "n", "length", "item_id", "version", "place", slots.alias("slots"), _hash("signed", F.col("kind")).alias("window"))
+    windows = windows.dropDuplicates(["item_id", "version", "place", "window", "kind"])
+    # the gram of a window: without names in the second reading if it has such a one, then with the most letters of words
+    literal, named = F.col("kind") == LITERAL, F.col("kind") == RENAMED
+    letters = lambda x: F.when(literal, F.length(_value(x))).when(_is_slot(x) | (named & (_sign(x) == _MAYBE)), 0).otherwise(F.length(x))
+    has_name = lambda x: named & _sign(x).isin(_NAME, _MAYBE)
+
+    def gram(i):
+        a, b = F.get("signed", i), F.get("signed", i + 1)
+        second = has_name(a) | has_name(b)
+        reading = F.when(literal, VALUES).when(second, SECOND).otherwise(FIRST)
+        found = F.when(literal, _gram(a, b, VALUES)).when(second, _gram(a, b, SECOND)).otherwise(_gram(a, b, FIRST))
+        return F.struct((~second).alias("first"), (letters(a) + letters(b)).alias("letters"), (-i).alias("i"), reading.alias("reading"), found.alias("gram"))
+
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.col("length") - 2, F.lit(0))), gram)
+    single = F.col("length") == 1
+    best = F.array_max(pairs)
+    windows = windows.withColumn("best", best).select(
+        "*",
+        F.when(single, _gram(F.get("signed", F.lit(0)), None, SINGLE)).otherwise(F.col("best.gram")).alias("gram"),
+        F.when(single, 0).otherwise(-F.col("best.i")).alias("from"),
+        F.when(single, SINGLE).otherwise(F.col("best.reading")).alias("reading"),
+    )
+    windows = common.materialise(windows.drop("best", "signed"), "windows")
     totals = F.array(*[_covered(F.col("kind").isin(*kinds)) for kinds in _VIEWS])
     whole = windows.groupBy("item_id", "version").agg(F.countDistinct("place").alias("windows"), totals.alias("totals"))
     # so many tokens one replaced word leaves at least
@@ -140,29 +156,36 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """docs: doc_id, text; benchmark: item_id, text.  A row for each text and item it holds:
     doc_id, text_hash, item_id, matched and windows (of the item), share (of its tokens), slots (placeholders compared), changed (those with another value)."""
-    items = _items(benchmark)
-    kinds: dict[int, set[int]] = {}
-    for r in items.select("length", "kind").distinct().collect():  # WINDOW lengths at most
-        kinds.setdefault(r["length"], set()).add(r["kind"])
-    if items.count() <= BROADCAST_ROWS:
-        items = F.broadcast(items)
+    items = common.materialise(_items(benchmark), "looked-up")
+    readings = sorted(r[0] for r in items.select("reading").distinct().collect()) or [FIRST]  # four at most
+    rows = items.count()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), tokens(F.col("text").cast("string")).alias("signed"))
-    docs = docs.withColumn("toks", _read("signed", False)).withColumn("template", _template("toks")).withColumn("maybe", F.transform("signed", _may_be_name))
-    docs = docs.withColumn("second", F.transform("signed", lambda x: F.when(_may_be_name(x), F.lit(_NAME)).when(_is_slot(x), F.substring(x, 1, 1)).otherwise(x)))
-    docs = docs.withColumn("n_slots", F.size(F.filter("toks", _is_slot))).withColumn("plain", _literal("toks"))
-    parts = None
-    for length in sorted(kinds) or [WINDOW]:
-        have = kinds.get(length, set())
-        first = (_windows(length, have), [PLAIN, LITERAL, RENAMED])
-        for hashes, of in (first, (_renamed_windows(length), [RENAMED])) if RENAMED in have else (first,):
-            # outer: else Spark would filter by the windows, written out, before it makes them
-            each = docs.select("doc_id", "text_hash", "toks", hashes.alias("hashes")).select("doc_id", "text_hash", "toks", F.posexplode_outer("hashes").alias("at", "window"))
-            wanted = items.where((F.col("length") == length) & F.col("kind").isin(of))
-            hit = each.join(wanted, "window").select("doc_id", "text_hash", "item_id", "version", "place", "kind", "length", "windows", "totals", "least", (F.col("at") - F.col("place")).alias("offset"), F.slice("toks", F.col("at") + 1, length).alias("theirs"), "slots")
-            parts = hit if parts is None else parts.unionByName(hit)
-    pairs = F.filter(F.zip_with("slots", "theirs", lambda a, b: F.struct(a.alias("a"), F.concat(F.substring(a, 1, 1), _value(b)).alias("b"))), lambda p: _is_slot(p["a"]))
+    after = F.slice("signed", 2, 1 << 30)  # the last token's gram is with nothing; no item has that
+    read = lambda r: F.zip_with("signed", after, lambda a, b: _gram(a, b, r))
+    grams = F.concat(*map(read, readings))
+    # outer: else Spark would filter by the grams, written out, before it makes them
+    each = docs.select("doc_id", "text_hash", "signed", grams.alias("grams")).select("doc_id", "text_hash", "signed", F.posexplode_outer("grams").alias("at", "gram"))
+    each = each.withColumn("at", F.col("at") % F.size("signed"))
+    if rows <= BROADCAST_ROWS:
+        met = each.join(F.broadcast(items), "gram")
+    else:
+        # what moves is a token's neighbours, not the text; grams alone are small enough to drop most rows before
+        known = items.select("gram").distinct()
+        if rows <= 20 * BROADCAST_ROWS:
+            each = each.join(F.broadcast(known), "gram", "left_semi")
+        begin = F.greatest(F.col("at") - WINDOW, F.lit(0))
+        narrow = each.select("doc_id", "text_hash", "gram", F.slice("signed", begin + 1, 2 * WINDOW + 1).alias("signed"), (F.col("at") - begin).alias("at"), begin.alias("begin"))
+        met = narrow.join(items.hint("merge"), "gram")
+    start = F.col("at") - F.col("from")
+    # no lambdas in this step: what holds one would leave the generated code, and each row out of that would hold a whole text
+    offset = start - F.col("place") + (F.lit(0) if rows <= BROADCAST_ROWS else F.col("begin"))
+    some = ["doc_id", "text_hash", "item_id", "version", "place", "kind", "length", "windows", "totals", "least", "window", "slots"]
+    met = met.where((start >= 0) & (start + F.col("length") <= F.size("signed"))).select(*some, offset.alias("offset"), F.slice("signed", start + 1, F.col("length")).alias("theirs"))
+    hits = common.materialise(met, "candidates").where(_hash("theirs", F.col("kind")) == F.col("window")).drop("window")
     # each window of a text is hit once for each place of an item; what is collected is bounded by the item
-    hits = common.materialise(parts.select("*", pairs.alias("pairs")).drop("slots", "theirs"), "hits")
+    hits = common.materialise(hits.dropDuplicates(["doc_id", "text_hash", "item_id", "version", "place", "kind", "offset"]), "hits")
+    pairs = F.filter(F.zip_with("slots", "theirs", lambda a, b: F.struct(a.alias("a"), F.concat(_sign(a), _value(b)).alias("b"))), lambda p: _is_slot(p["a"]))
+    hits = hits.select("*", pairs.alias("pairs")).drop("slots", "theirs")
     key = ["doc_id", "text_hash", "item_id", "version"]
     far = F.greatest("windows", F.lit(WINDOW))
     bucket = F.floor(F.col("offset") / far)
@@ -189,5 +212,5 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFra
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text holds an item."""
-    found = find(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    found = find(docs, benchmark).select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]) & (F.xxhash64(docs["text"]) == found["found_hash"]), "left_anti")
