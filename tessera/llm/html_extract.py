@@ -7,9 +7,11 @@ Sum-product messages run from the leaves up and from the root down and give ever
 exact marginal; the text of elements whose marginal is CONTENT or more is kept.
 
 The potentials are log ratios counted (with smoothing) over labelled pages: ``training_pages``
-makes them, varied in layout and wording, with the label of every element.
+makes them, varied in layout and wording, with the label of every element.  Elements that hold no
+prose by their kind (HARD: forms, scripts and the like) are evidence: they and all below them are not content.  A form
+around most of a page's text is a wrapper, not a form.
 
-Edge cases: a null or empty page, or one without markup that reads as content, has an empty text; unclosed and stray tags,
+Edge cases: a null or empty page has an empty text; a page without markup is its text; unclosed and stray tags,
 comments, cut-off markup and references, scripts and styles are read as browsers do;
 repeated rows are kept; an empty table gives an empty result.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 CONTENT = 0.5
-TRAINING_PAGES = 400
+TRAINING_PAGES = 600
 SMOOTHING = 0.5
 SEED = 5
 
@@ -42,6 +44,9 @@ BLOCK = frozenset(
 )
 RAW = frozenset("script style noscript template textarea title iframe svg".split())
 CLOSES_P = BLOCK - frozenset("html head body title li dd dt td th tr option optgroup legend summary".split())
+HARD = frozenset("head title script style noscript template textarea select option optgroup button datalist iframe object svg math audio video canvas map dialog".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 br b i em strong a span u code small sup sub blockquote ul ol pre figure table dl".split())
+P_FENCES = "td th table article section div li body main aside nav form button".split()
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -51,15 +56,16 @@ _MARKUP = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "words", "parts", "parent", "children", "label", "chars", "linked")
+    __slots__ = ("tag", "words", "heads", "parts", "parent", "children", "label", "chars", "linked", "own")
 
-    def __init__(self, tag: str, words: tuple = (), parent: Element | None = None):
-        self.tag, self.words, self.parent = tag, words, parent
+    def __init__(self, tag: str, words: tuple = (), heads: tuple = (), parent: Element | None = None):
+        self.tag, self.words, self.heads, self.parent = tag, words, heads, parent
         self.parts: list = []  # text and elements, in page order
         self.children: list[Element] = []
         self.label = None
@@ -68,26 +74,70 @@ class Element:
             parent.children.append(self)
 
 
-def _attributes(raw: str) -> tuple[tuple, str | None]:
-    words, label = [], None
+def _attributes(raw: str) -> tuple[tuple, tuple, str | None]:
+    """Words of the naming attributes, the last word of each name in them, and the label of a training page."""
+    words, heads, label = [], [], None
     if "=" in raw:
         for name, a, b, c in _ATTR.findall(raw):
             name, value = name.lower(), a or b or c
             if name in ("class", "id", "role", "itemprop", "aria-label"):
-                words += _WORD.findall(_CAMEL.sub(" ", value).lower())
+                for part in value.split():
+                    if found := _WORD.findall(_CAMEL.sub(" ", part).lower()):
+                        words += found
+                        heads.append(found[-1])
             elif name == "data-label":
                 label = value
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw):
+    if "hidden" in raw and _HIDDEN.search(raw):
         words.append("hidden")
-    return tuple(dict.fromkeys(words)), label
+    return tuple(dict.fromkeys(words)), tuple(dict.fromkeys(heads)), label
+
+
+class _Open:
+    """The open elements, with the depths of each tag and of blocks, so that no tag looks through all of them."""
+
+    def __init__(self, root: Element):
+        self.path, self.depths, self.blocks = [root], {}, []
+
+    def push(self, e: Element) -> None:
+        self.depths.setdefault(e.tag, []).append(len(self.path))
+        if e.tag in BLOCK:
+            self.blocks.append(len(self.path))
+        self.path.append(e)
+
+    def cut(self, depth: int) -> None:
+        while len(self.path) > depth:
+            e = self.path.pop()
+            self.depths[e.tag].pop()
+            if e.tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """Depth of the innermost open element of one of the tags, 0 if there is none."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def before(self, tag: str) -> None:
+        """Close what a start tag closes."""
+        if tag in CLOSES_P:
+            if (p := self.last(("p",))) > self.last(P_FENCES):
+                self.cut(p)
+        elif tag in SIBLINGS:
+            if (d := self.last(SIBLINGS[tag])) > self.last(FENCES[tag]):
+                # a row also closes the row that an open cell is in
+                self.cut(d - 1 if tag == "tr" and self.path[d].tag != "tr" and self.path[d - 1].tag == "tr" else d)
+
+    def end(self, tag: str) -> None:
+        # an inline end tag doesn't close blocks
+        if (d := self.last((tag,))) and (tag in BLOCK or tag in HARD or not self.blocks or self.blocks[-1] < d):
+            self.cut(d)
 
 
 def parse(page: str) -> Element:
-    """The tree of a page; in time linear in its length but for the depth of its nesting."""
+    """The tree of a page, in time linear in its length."""
     root = Element("#page")
-    now, at, lower = root, 0, None
+    open_, at, lower = _Open(root), 0, None
     n = len(page)
     while at < n:
+        now = open_.path[-1]
         lt = page.find("<", at)
         if lt < 0:
             now.parts.append(page[at:])
@@ -102,54 +152,23 @@ def parse(page: str) -> Element:
         at = m.end()
         if tag := m["tag"]:
             tag = tag.lower()
-            now = _open(now, tag)
-            words, label = _attributes(m["attrs"] or "")
-            e = Element(tag, words, now)
+            open_.before(tag)
+            words, heads, label = _attributes(m["attrs"] or "")
+            e = Element(tag, words, heads, open_.path[-1])
             e.label = label
             if tag in RAW:
                 if lower is None:
                     lower = page.lower() if len(page.lower()) == n else page
                 end = lower.find(f"</{tag}", at)
-                end = n if end < 0 else end
-                if tag in ("title", "textarea", "noscript"):
-                    e.parts.append(page[at:end])
-                close = page.find(">", end)
+                close = page.find(">", end) if end >= 0 else -1
                 at = n if close < 0 else close + 1
             elif tag not in VOID and not (m["attrs"] or "").endswith("/") or tag in BLOCK and tag not in VOID:
-                now = e
+                open_.push(e)
         elif end := m["end"]:
-            now = _close(now, end.lower())
+            open_.end(end.lower())
     return root
 
 
-def _open(now: Element, tag: str) -> Element:
-    if tag in CLOSES_P:
-        e = now
-        while e.parent is not None and e.tag not in ("td", "th", "table", "article", "section", "div", "li", "body", "main", "aside", "nav", "form", "button"):
-            if e.tag == "p":
-                return e.parent
-            e = e.parent
-    elif tag in SIBLINGS:
-        e = now
-        while e.parent is not None and e.tag not in FENCES[tag]:
-            if e.tag in SIBLINGS[tag]:
-                return e.parent if tag != "tr" or e.tag == "tr" else (e.parent.parent if e.parent.tag == "tr" else e.parent)
-            e = e.parent
-    return now
-
-
-def _close(now: Element, tag: str) -> Element:
-    e = now
-    while e.parent is not None:
-        if e.tag == tag:
-            return e.parent
-        # an inline end tag doesn't close blocks
-        if tag not in BLOCK and e.tag in BLOCK:
-            return now
-        e = e.parent
-    return now
-
-
 # ------------------------------------------------------------------- the model
 
 
@@ -163,31 +182,49 @@ def elements(root: Element) -> list[Element]:
 
 def _features(order: list[Element]) -> list[list[str]]:
     for e in reversed(order):
-        own = sum(len(p) - p.count(" ") for p in e.parts if type(p) is str)
-        e.chars = own + sum(c.chars for c in e.children)
+        e.own = sum(len(p) - p.count(" ") - p.count("\n") for p in e.parts if type(p) is str)
+        e.chars = e.own + sum(c.chars for c in e.children)
         e.linked = e.chars if e.tag == "a" else sum(c.linked for c in e.children)
     out = []
     for e in order:
         f = [f"tag {e.tag}"]
         f += [f"word {w}" for w in e.words]
+        f += [f"head {w}" for w in e.heads]
         f.append(f"size {min(6, e.chars.bit_length() // 2)}")
         f.append(f"links {4 * e.linked // e.chars if e.chars else 5}")
+        if e.tag in ("#page", "html", "body", "div", "main", "form"):
+            # whether it is around one thing, or holds text and paragraphs itself
+            prose = e.own + sum(c.chars for c in e.children if c.tag in PROSE)
+            f.append(f"{'page' if e.tag in ('#page', 'html') else e.tag} prose {4 * prose // e.chars if e.chars else 5}")
         out.append(f)
     return out
 
 
+def _hard(order: list[Element]) -> set[int]:
+    """The elements that can't be content, by id: parents stand before children."""
+    found: set[int] = set()
+    whole = order[0].chars
+    for e in order:
+        if e.tag in HARD or (e.tag == "form" and 2 * e.chars < whole) or (e.parent is not None and id(e.parent) in found):
+            found.add(id(e))
+    return found
+
+
 class Model:
     """Log potentials: of each feature for content against not, and of labels of parent and child."""
 
-    def __init__(self, pages: list[str]):
+    def __init__(self, pages: list[tuple[str, bool]]):
         has: tuple[Counter, Counter] = (Counter(), Counter())
         number, pairs = [0, 0], [[0.0, 0.0], [0.0, 0.0]]
-        for page in pages:
+        for page, bare in pages:
             order = elements(parse(page))
-            labels = {}
-            for e, features in zip(order, _features(order), strict=True):
-                if e.label is None:
-                    y = labels[id(e.parent)] if e.parent is not None else 0
+            labels, found = {}, _features(order)
+            hard = _hard(order)
+            for e, features in zip(order, found, strict=True):
+                if id(e) in hard:
+                    y = 0
+                elif e.label is None:
+                    y = labels[id(e.parent)] if e.parent is not None else int(bare)
                 else:
                     y = int(e.label == "1")
                 labels[id(e)] = y
@@ -204,11 +241,11 @@ class Model:
         """Every element's probability of being content: one pass up, one down."""
         order = elements(root)
         place = {id(e): i for i, e in enumerate(order)}
-        own = []
-        for features in _features(order):
-            s = max(-30.0, min(30.0, sum(self.feature.get(f, 0.0) for f in features)))
-            own.append((1.0, math.exp(s)))
-        own[0] = (1.0, 1e-6)  # the page itself is not content
+        own, features = [], _features(order)
+        hard = _hard(order)
+        for e, fs in zip(order, features, strict=True):
+            s = max(-30.0, min(30.0, sum(self.feature.get(f, 0.0) for f in fs)))
+            own.append((1.0, 0.0 if id(e) in hard else math.exp(s)))
         up: list[tuple[float, float]] = [(1.0, 1.0)] * len(order)  # message to the parent
         belief = [list(x) for x in own]
         p = self.pair
@@ -284,8 +321,8 @@ _NOT = {
 _IS = ["article", "post", "entry", "content", "main-content", "article-body", "post-content", "story", "text", "entry-content", "body-text"]
 
 
-def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
-    """Pages with data-label 1 (content) or 0 on elements; an element without has its parent's."""
+def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[str, bool]]:
+    """Pages with data-label 1 (content) or 0 on elements; an element without has its parent's, and the page itself 1 if it is bare."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("aeioustrnlmdhc") for _ in range(r.randint(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
@@ -299,7 +336,10 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
     def away():
         tag = r.choices(["nav", "header", "footer", "aside", "div", "form", "section"], [3, 2, 3, 2, 5, 1, 1])[0]
         names = _NOT[tag]
-        mark = f' class="{r.choice(names)}"' if tag in ("div", "section") else name(names)
+        kind = r.choice(names)
+        if r.random() < 0.4:  # such as story-comments
+            kind = f"{r.choice(_IS)}-{kind}"
+        mark = f' class="{kind}"' if tag in ("div", "section") else name([*names, kind])
         inner = {
             "nav": links,
             "header": lambda: f"<h1>{words(1, 4)}</h1>" * r.randint(0, 1) + links() * r.randint(0, 1) + f"<p>{words(2, 9)}</p>" * r.randint(0, 1),
@@ -333,6 +373,16 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
         return f"<div>{inline()}</div>" if r.random() < 0.5 else f"<pre>{inline()}</pre>"
 
     def page():
+        if r.random() < 0.25:  # no wrapper: text and paragraphs in the body, or no tags around them at all
+            text = "".join(block() for _ in range(r.randint(1, 12))) if r.random() < 0.6 else f"<br>{' ' * r.randint(0, 1)}".join(inline() for _ in range(r.randint(1, 6)))
+            text = f"<h1>{words(1, 10)}</h1>" * (r.random() < 0.5) + text
+            text = "".join(away() for _ in range(r.randint(0, 2))) + text + "".join(away() for _ in range(r.randint(0, 2)))
+            if r.random() < 0.4:
+                return text, True
+            if r.random() < 0.5:
+                text = f'<div data-label="1">{text}</div>'
+                return (text if r.random() < 0.5 else f"<html><body>{text}</body></html>"), False
+            return f'<html><head><title>{words(2, 9)}</title></head><body data-label="1">{text}</body></html>', False
         tag = r.choices(["article", "main", "div", "section"], [6, 2, 3, 1])[0]
         mark = name(_IS) if tag in ("article", "main") else f' class="{r.choice(_IS)}"'
         title = f"<h1>{words(1, 10)}</h1>" if r.random() < 0.9 else f"<header><h1>{words(1, 10)}</h1></header>"
@@ -345,7 +395,7 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
         before = "".join(away() for _ in range(r.randint(0, 4)))
         after = "".join(away() for _ in range(r.randint(0, 4)))
         bare = f"<p>{words(3, 25)}</p>" * (r.random() < 0.1) + f"<span>{words(1, 5)}</span>" * (r.random() < 0.1)
-        return f"<!DOCTYPE html><html><head><title>{words(2, 9)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{before}{body}{bare}{after}</body></html>"
+        return f"<!DOCTYPE html><html><head><title>{words(2, 9)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{before}{body}{bare}{after}</body></html>", False
 
     return [page() for _ in range(n)]
 
@@ -368,6 +418,7 @@ def _extract(batches):
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """pages: html and the columns of keep.  Adds text and n_chars; no shuffle."""
     common.ship_package(pages.sparkSession)
+    keep = [c for c in keep if c.lower() not in ("text", "n_chars")]  # columns of those names are replaced
     narrow = pages.select(F.col("html").cast("string").alias("_whole_html"), *keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])
-    return narrow.mapInArrow(_extract, f"{kept}, text string, n_chars long")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema.fields[1:])
+    return narrow.mapInArrow(_extract, f"{kept}text string, n_chars long")
