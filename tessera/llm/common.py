@@ -26,28 +26,60 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _tidy() -> None:
+    """What this driver wrote and nobody has removed goes when it ends."""
+    for spark, path in _WRITTEN:
+        try:
+            _remove(spark, path)
+        except Exception:  # the session has ended before
+            if path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share; it goes when the driver ends.
 
-    Only where the session has no such setting (tests, a laptop) is a local
-    folder made and set; it is removed when the driver ends.
+    Only where a session on one machine has no such setting (tests, a laptop) is a local folder made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         base = f"file://{local}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_dir(spark)
+    df.write.parquet(f"{folder}/{name}")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out._tessera_folder = folder
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a materialised table that nothing will read again."""
+    folder = getattr(df, "_tessera_folder", None)
+    if folder:
+        _remove(df.sparkSession, folder)
+        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != folder]
 
 
 def ship_package(spark: SparkSession) -> None:

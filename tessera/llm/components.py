@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
     e = common.materialise(tidy(links), "links")
     before = None
     while True:
-        e = common.materialise(tidy(_small(_large(e))), "stars")
+        old, e = e, common.materialise(tidy(_small(_large(e))), "stars")
+        common.discard(old)
         now = tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.col("b").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -180,6 +180,7 @@ def _search(x: Tree, y: Tree, percent: int, group: np.ndarray, shift: int) -> No
     Pairs that are of one group already need no look.
     """
     same = x is y
+    members = {int(g): [int(g)] for g in group}  # of each group; the smaller one takes the other's number
     stack = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
     while stack:
         li, i, lj, j = stack.pop()
@@ -203,7 +204,9 @@ def _search(x: Tree, y: Tree, percent: int, group: np.ndarray, shift: int) -> No
                 s, t = x.sets[u], y.sets[v]
                 inside = int(np.isin(s, t, assume_unique=True, kind="sort").sum())
                 if 100 * inside >= percent * (len(s) + len(t) - inside):
-                    group[group == group[v + shift]] = group[u]
+                    big, small = sorted((int(group[u]), int(group[v + shift])), key=lambda g: -len(members[g]))
+                    group[members[small]] = big
+                    members[big] += members.pop(small)
             continue
         if li >= lj:  # open the higher one
             down = [(li - 1, c, lj, j) for c in range(i * FANOUT, min((i + 1) * FANOUT, len(x.levels[li - 1])))]
@@ -259,9 +262,9 @@ def _trees(k: int, percent: int):
 
 
 def classify(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs: doc_id, text.  Returns for each row: doc_id, text_hash, n_shingles, class, component_id.
+    """docs: doc_id, text.  Returns for each row: doc_id, text_hash, n_shingles, class, root, component_id.
 
-    class names the shingle set (null: none); component_id is the least doc_id
+    class names the shingle set (null: none), root the component, also where doc_ids repeat; component_id is the least doc_id
     that links reach, the row's own included.
     """
     spark = docs.sparkSession
@@ -304,15 +307,14 @@ def classify(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     heads = firsts.join(linked.withColumnRenamed("node", "class"), "class", "left").select("class", "least_id", F.coalesce("root", "class").alias("root"))
     least = heads.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = heads.join(least, "root").select("class", "component_id")
-    return marked.join(named, "class", "left").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = heads.join(least, "root").select("class", "root", "component_id")
+    return marked.join(named, "class", "left").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "class", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, that of the least (doc_id, text hash); rows without shingles all stay."""
     found = classify(docs, words, percent).where("n_shingles > 0")
-    # a null doc_id stands in a component of its own class, or of the documents it is like
-    first = found.groupBy(F.coalesce("component_id", "class").alias("c"), F.col("component_id").isNull()).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("x"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("x"))
     h, there = common.fresh_name(docs, "text_hash"), common.fresh_name(docs, "kept_id")
     best = first.select(F.col("x.doc_id").alias(there), F.col("x.text_hash").alias(h)).distinct()
     marked = docs.withColumn(h, F.xxhash64("text"))

@@ -18,7 +18,6 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +28,7 @@ FEATURES = 4096
 CLUSTERS = 3
 SAMPLE = 400
 LEAST_TEXTS = 5
+CHOSEN_SENT = 200_000
 REJECT = 0.7
 UNKNOWN = "und"
 
@@ -37,7 +37,7 @@ UNKNOWN = "und"
 def _letters() -> np.ndarray:
     """For each code point its lower case if it is a letter, else a blank."""
     out = np.full(0x110000, 32, np.uint32)
-    for i in range(0x32000):
+    for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
@@ -81,29 +81,32 @@ def _document_counts(batches):
         yield pa.RecordBatch.from_pydict({"n": [n], "df": [df.tobytes()]})
 
 
+_FITTED = "lang string, centroid binary, bucket long, least double"
+
+
 def _centroids(idf):
-    def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [c for c in map(counts, pdf["text"]) if c is not None]
-        if not rows:
-            return pd.DataFrame({"lang": [], "centroid": [], "bucket": [], "least": []})
-        v = _vectors(rows, idf)
-        centre = [v.mean(0)]  # the farthest text from those chosen is next
-        while len(centre) < min(CLUSTERS, len(v)):
-            centre.append(v[np.argmin((v @ np.array(centre).T).max(1))])
-        centre = np.array(centre)
-        for _ in range(8):
-            own = (v @ centre.T).argmax(1)
-            for c in range(len(centre)):
-                if (own == c).any():
-                    centre[c] = v[own == c].mean(0)
-            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-        near = (v @ centre.T).max(1)
-        out = pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [c.astype(np.float32).tobytes() for c in centre]})
-        size = pd.Series([_bucket(int(r.sum())) for r in rows])
-        groups = pd.Series(near).groupby(size)
-        least = groups.min()[groups.size() >= LEAST_TEXTS]
-        limits = pd.DataFrame({"lang": pdf["lang"].iloc[0], "bucket": least.index.astype("int64"), "least": least.to_numpy("float64")})
-        return pd.concat([out, limits])[["lang", "centroid", "bucket", "least"]]
+    def centroids(key: tuple, table: pa.Table) -> pa.Table:
+        lang, rows = key[0].as_py(), [c for c in map(counts, table.column("text").to_pylist()) if c is not None]
+        out: list[tuple] = []
+        if rows:
+            v = _vectors(rows, idf)
+            centre = [v.mean(0)]  # the farthest text from those chosen is next
+            while len(centre) < min(CLUSTERS, len(v)):
+                centre.append(v[np.argmin((v @ np.array(centre).T).max(1))])
+            centre = np.array(centre)
+            for _ in range(8):
+                own = (v @ centre.T).argmax(1)
+                for c in range(len(centre)):
+                    if (own == c).any():
+                        centre[c] = v[own == c].mean(0)
+                centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+            near = (v @ centre.T).max(1)
+            out = [(lang, c.astype(np.float32).tobytes(), None, None) for c in centre]
+            size = np.array([_bucket(int(r.sum())) for r in rows])
+            out += [(lang, None, int(b), float(near[size == b].min())) for b in np.unique(size) if (size == b).sum() >= LEAST_TEXTS]
+        kinds = [pa.string(), pa.binary(), pa.int64(), pa.float64()]
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "centroid", "bucket", "least"])
 
     return centroids
 
@@ -125,20 +128,39 @@ class Model:
         return min(known.values()) * 2 ** (min(0, _bucket(grams) - min(known)) / 2)
 
 
+def sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """lang, text of at most so many labelled rows of each language, those with the least hash of doc_id.
+
+    Rows beyond a cut of the hash that leaves about four times as many are gone before any shuffle, so that a language
+    of most rows sends a task no more than one of few.  The languages are as many as the model has.
+    """
+    narrow = docs.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
+    seen = {r["lang"]: r["n"] for r in narrow.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    cut = {lang: min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * (4 * sample + 40) / n)) for lang, n in seen.items()}
+    if not cut:
+        return docs.select("lang", "text").limit(0)
+    cuts = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair])
+    few = narrow.where(F.col("h") <= F.element_at(cuts, F.col("lang")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = few.withColumn("place", place).where(F.col("place") <= sample).select("doc_id", F.col("lang").alias("its"), "place")
+    if sample * len(cut) <= CHOSEN_SENT:
+        chosen = F.broadcast(chosen)
+    # ids may repeat: the first text of a chosen row
+    met = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]) & (docs["lang"] == chosen["its"]))
+    return met.groupBy("its", "place").agg(F.min("text").alias("text")).select(F.col("its").alias("lang"), "text")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text, lang (rows that may be learnt from)."""
     common.ship_package(docs.sparkSession)
-    docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.select("doc_id", "lang").withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).select("doc_id", "lang", "place")
-    # ids may repeat: the first text of a chosen row
-    texts = docs.join(chosen, ["doc_id", "lang"]).groupBy("lang", "place").agg(F.min("text").alias("text"))
-    texts = common.materialise(texts.select("lang", "text"), "labelled")
+    docs = docs.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    texts = common.materialise(sampled(docs, sample), "labelled")
     n, df = 0, np.zeros(FEATURES, np.int64)
     for r in texts.select("text").mapInArrow(_document_counts, "n long, df binary").collect():
         n, df = n + r.n, df + np.frombuffer(r.df, np.int64)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    found = texts.groupBy("lang").applyInPandas(_centroids(idf), "lang string, centroid binary, bucket long, least double").collect()
+    found = texts.groupBy("lang").applyInArrow(_centroids(idf), _FITTED).collect()
+    common.discard(texts)
     rows = sorted((r.lang, bytes(r.centroid)) for r in found if r.centroid is not None)
     limits = {(r.lang, int(r.bucket)): float(r.least) for r in found if r.centroid is None}
     matrix = np.array([np.frombuffer(c, np.float32) for _, c in rows], np.float32).reshape(-1, FEATURES)
@@ -174,9 +196,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns of keep, and lang_pred, score and rejected, read from text alone."""
     common.ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score", "rejected")]  # columns of those names are replaced
     narrow = docs.select(F.col("text").cast("string").alias("_whole_text"), *keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])
-    return narrow.mapInArrow(_predict(sent), f"{kept}, lang_pred string, score double, rejected boolean")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema.fields[1:])
+    return narrow.mapInArrow(_predict(sent), f"{kept}lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COVER = 0.6
+OUTPUT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 _NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -82,6 +83,7 @@ def _holds_a_phrase(text: Column) -> Column:
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     """docs: text and the columns of keep.  Adds n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    keep = [c for c in keep if c.lower() not in OUTPUT]  # columns of those names are replaced
     idf = inverse_frequencies(docs)
     # a template counts only where its whole phrase stands, so one word of the phrase finds each of its places
     postings: dict[str, list[tuple[int, int]]] = {}

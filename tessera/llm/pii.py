@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -185,28 +186,37 @@ def text_of(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def _mask(batches):
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("pii_spans").to_pylist(), strict=True):
-            if spans:
-                parts, at = [], 0
-                for b, e, k in sorted((s["start"], s["stop"], s["kind"]) for s in spans):
-                    if e <= at:
-                        continue
-                    if b >= at:
-                        parts += [text[at:b], f"[{KINDS[k].upper()}]"]
-                    at = e
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        i = batch.schema.get_field_index("text")
-        batch = batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type))
-        yield batch.drop_columns(["pii_spans"])
+def _masked(text: str, spans: list[dict]) -> str:
+    parts, at = [], 0
+    for b, e, k in sorted((s["start"], s["stop"], s["kind"]) for s in spans):
+        if e <= at:
+            continue
+        if b >= at:
+            parts += [text[at:b], f"[{KINDS[k].upper()}]"]
+        at = e
+    return "".join([*parts, text[at:]])
+
+
+def _mask(place: int):
+    """Rows whose last column is the spans of the text at a place."""
+
+    def mask(batches):
+        for batch in batches:
+            texts, spans = batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            out = [_masked(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+            batch = batch.set_column(place, batch.schema.field(place), pa.array(out, batch.schema.field(place).type))
+            yield batch.drop_columns(["spans"])
+
+    return mask
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets; rows without spans pass as they are."""
-    h = common.fresh_name(docs, "text_hash")
-    found = extract(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "spans").groupBy("_id", "_h").agg(F.first("spans").alias("pii_spans"))
-    marked = docs.withColumn(h, F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(h) == F.col("_h")), "left")
-    return marked.select(*[F.col(c) for c in docs.columns], "pii_spans").mapInArrow(_mask, docs.schema)
+    found = extract(docs).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
+    found = found.toDF("found_id", "found_hash", "found_spans")
+    met = docs["doc_id"].eqNullSafe(found["found_id"]) & (F.xxhash64(docs["text"]) == found["found_hash"])
+    columns = [docs[c].alias(f"k{i}") for i, c in enumerate(docs.columns)]
+    place = [c.lower() for c in docs.columns].index("text")
+    kept = T.StructType([T.StructField(f"k{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
+    masked = docs.join(found, met, "left").select(*columns, found["found_spans"].alias("spans")).mapInArrow(_mask(place), kept)
+    return masked.toDF(*docs.columns)

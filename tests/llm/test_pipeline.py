@@ -1,3 +1,4 @@
+import numpy as np
 import re
 
 import pyarrow.parquet as pq
@@ -60,3 +61,20 @@ def test_registered(spark):
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries() and "pipeline" not in __spark_entry__.oracle_sql()
+
+
+def test_stages_pass_columns_of_any_name(spark):
+    from tessera.llm import decontamination, html_extract, jaccard, langid, license_scan, pii
+
+    text = "Write to ann.lee@example.org about the red apples in the old basket before the evening meal is ready"
+    names = ["text_hash", "_id", "_h", "pii_spans", "spans", "found_id", "found_hash", "class", "root", "n", "k0", "lang_pred", "score", "rejected", "labels", "n_words", "n_chars"]
+    shape = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, t, *names) for i, t in [(1, text), (2, text), (2, "another text of its own words stands here"), (None, text), (3, None), (4, "")]], shape)
+    bench = spark.createDataFrame([(1, "no such thing is in any of these texts at all")], "item_id long, text string")
+    for df in (pii.redact(docs), decontamination.clean(docs, bench), jaccard.keep_one(docs), langid.keep_known(docs, langid.Model([], np.zeros((0, langid.FEATURES)), np.ones(langid.FEATURES), {}))):
+        assert df.columns == docs.columns and all(r[2:] == tuple(names) for r in df.collect())
+    assert pii.redact(docs).where("text like '%[EMAIL]%'").count() == 3 and pii.redact(docs).count() == 6
+    # copies of one text are one, another text under the same id stays
+    assert sorted((r.doc_id, r.text or "") for r in jaccard.keep_one(docs).collect()) == [(1, text), (2, "another text of its own words stands here"), (3, ""), (4, "")]
+    for df in (license_scan.scan(docs, ["doc_id", "labels", "score"]), langid.predict(docs, langid.Model([], np.zeros((0, langid.FEATURES)), np.ones(langid.FEATURES), {}), ["doc_id", "lang_pred"])):
+        assert len(set(df.columns)) == len(df.columns) and df.count() == 6
