@@ -1,7 +1,11 @@
 """The corpus pipeline: language, near duplicates, decontamination, personal data, token ids.
 
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a
-DataFrame; ``run`` writes each as Parquet in the shared folder and reads it again for the next one.
+DataFrame; ``run`` writes each as Parquet in the shared folder, reads it again for the next one and removes it after that.
+
+Edge cases: a null or empty text has no letter and goes in the first stage; rows that repeat, or differ in id alone, are one group of
+copies of which the row with the least doc_id stays (null ids last); columns besides doc_id, text and lang pass as they are, whatever
+their names; an empty table gives an empty result; with no labelled rows no language is known and all rows go.
 """
 
 from __future__ import annotations
@@ -55,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.materialise(stage(spark, docs, sf_dir), name)
+        common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
