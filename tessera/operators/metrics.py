@@ -42,6 +42,19 @@ def rank_stats(samples: DataFrame, key: str, value: str) -> DataFrame:
     return run.groupBy(key).agg(F.max("n").alias("n"), *[pick(q).alias(f"p{q}") for q in (50, 95, 99)])
 
 
+def increases(samples: DataFrame, series: list[str], at: str, value: str) -> DataFrame:
+    """Of each sample of a counter what it has grown by since the one before; after a reset, which shows as a fall, what it stands at."""
+    before = F.lag(value).over(Window.partitionBy(*series).orderBy(at))
+    grown = F.when(before.isNull(), F.lit(0.0)).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
+    return samples.withColumn("increase", grown)
+
+
+def counter_rate(samples: DataFrame, series: list[str], ms: str, value: str, step_ms: int) -> DataFrame:
+    """Increase a second of each series in each step, over resets."""
+    grown = increases(samples, series, ms, value)
+    return grown.groupBy(*series, F.expr(f"{ms} div {step_ms}").alias("step")).agg((F.sum("increase") / (step_ms / 1000)).alias("rate"))
+
+
 def range_rate(samples: DataFrame, keys: list[str], ms: str, value: str, step_ms: int) -> DataFrame:
     """Increase a second in each step."""
     return samples.groupBy(*keys, F.expr(f"{ms} div {step_ms}").alias("step")).agg((F.sum(value) / (step_ms / 1000)).alias("rate"))
@@ -52,11 +65,12 @@ def mean_of_ratios(samples: DataFrame, series: str, key: str, value: str) -> Dat
     return samples.groupBy(key, series).agg((F.sum(value) / F.count(value)).alias("r")).groupBy(key).agg(F.avg("r").alias("mean_ratio"), F.count("*").alias("series"))
 
 
-def chunk_latency(chunks: DataFrame, key: str, ms: str, tokens: str) -> DataFrame:
-    """Time to the first chunk after the request's start and inter-token latency, each gap weighted by its chunk's tokens, the first left out."""
+def chunk_latency(chunks: DataFrame, key: str, ms: str, tokens: str, start: str) -> DataFrame:
+    """Time from the request's start to its first chunk, and inter-token latency: gaps weighted by their chunk's tokens, the first left out."""
     gap = F.col(ms) - F.lag(ms).over(Window.partitionBy(key).orderBy(ms))
     rows = chunks.withColumn("gap", gap)
-    return rows.groupBy(key).agg(F.count("*").alias("chunks"), (F.sum("gap") / F.sum(F.when(F.col("gap").isNotNull(), F.greatest(F.col(tokens), F.lit(1))))).alias("itl"))
+    itl = F.sum("gap") / F.sum(F.when(F.col("gap").isNotNull(), F.greatest(F.col(tokens), F.lit(1))))
+    return rows.groupBy(key).agg(F.count("*").alias("chunks"), (F.min(ms) - F.min(start)).alias("ttft"), itl.alias("itl"))
 
 
 def sliding_regression(samples: DataFrame, key: str, order: str, x: str, y: str, n: int) -> DataFrame:

@@ -60,12 +60,12 @@ def last_sources(spark, sf):
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey AS rid, l_partkey AS image, l_partkey % 97 AS start, l_partkey % 97 + CAST(l_quantity AS BIGINT) AS stop FROM lineitem WHERE l_orderkey % 10 = 0),
- b AS (SELECT DISTINCT l_orderkey AS rid, unnest([0, 16, 32, 48, 64, 80, 96, 112, 128]) AS b_start FROM lineitem WHERE l_orderkey % 10 = 0)
+    """WITH r AS (SELECT l_orderkey AS rid, l_partkey AS image, l_partkey % 97 AS start, l_partkey % 97 + CAST(l_quantity AS BIGINT) AS stop FROM lineitem),
+ b AS (SELECT DISTINCT l_orderkey AS rid, unnest([0, 16, 32, 48, 64, 80, 96, 112, 128]) AS b_start FROM lineitem)
  SELECT r.rid, image, start, stop, b_start FROM r JOIN b ON r.rid = b.rid AND b_start + 16 > start AND b_start < stop"""
 )
 def interval_overlap(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    rows = table(spark, sf, "lineitem")
     images = rows.select(F.col("l_orderkey").alias("rid"), F.col("l_partkey").alias("image"), (F.col("l_partkey") % 97).alias("start"), (F.col("l_partkey") % 97 + F.col("l_quantity").cast("long")).alias("stop"))
     starts = F.explode(F.array(*[F.lit(16 * i).cast("int") for i in range(9)])).alias("b_start")
     b = rows.select(F.col("l_orderkey").alias("rid")).distinct().select("rid", starts).withColumn("b_stop", F.col("b_start") + 16)
@@ -82,11 +82,13 @@ def position_class(spark, sf):
     return table(spark, sf, "lineitem").where(selection.position_class(F.col("l_partkey"))).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, turn, role AS name, CAST(turn AS VARCHAR) AS turn_arg, trim(substr(text, 1, 30), ' ') AS rest FROM conversations")
+@query("SELECT conv_id, turn, [role, 'then'] AS names, concat('{\"turn\":', turn, '}') AS first_arguments, trim(text, concat(' ', chr(9), chr(10), chr(13))) AS rest FROM conversations")
 def tool_call_json(spark, sf):
     c = table(spark, sf, "conversations")
-    said = F.concat(F.substring("text", 1, 30), F.lit('<tool_call>{"name": "'), F.col("role"), F.lit('", "arguments": {"turn": '), F.col("turn").cast("string"), F.lit("}}</tool_call>"))
-    return c.select("conv_id", "turn", tools.tool_call(said).alias("t")).select("conv_id", "turn", "t.name", F.get_json_object("t.arguments", "$.turn").alias("turn_arg"), "t.rest")
+    first = F.concat(F.lit('<tool_call>{"name": "'), F.col("role"), F.lit('", "arguments": {"turn":'), F.col("turn").cast("string"), F.lit("}}</tool_call>"))
+    said = F.concat(first, F.col("text"), F.lit('<tool_call>\n[{"name": "then", "parameters": {}}]\n</tool_call><tool_call>no call</tool_call>'))
+    t = c.select("conv_id", "turn", tools.tool_calls(said).alias("t"))
+    return t.select("conv_id", "turn", F.transform("t.calls", lambda x: x["name"]).alias("names"), F.col("t.calls")[0]["arguments"].alias("first_arguments"), "t.rest")
 
 
 @query(f"WITH {_EVENTS} SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE block END AS tokens, CAST(worker AS INTEGER) AS c FROM ev")
@@ -145,23 +147,31 @@ def rolling_mean(spark, sf):
     return cache_events(spark, sf).select("user_id", "event_id", F.round(F.avg("value").over(w), 6).alias("mean"))
 
 
-@query(f"WITH {_EVENTS} SELECT user_id, arg_max(value, event_id) AS forecast FROM ev WHERE value IS NOT NULL AND NOT isnan(value) AND value <> 0 GROUP BY 1")
+_ZEROS = "CASE WHEN block % 3 = 0 THEN 0.0 WHEN block % 7 = 1 THEN 'nan'::DOUBLE ELSE value END"
+
+
+@query(
+    f"""WITH {_EVENTS}, v AS (SELECT user_id, event_id, {_ZEROS} AS v FROM ev), z AS (SELECT user_id, event_id, CASE WHEN isnan(v) THEN 0.0 ELSE v END AS v FROM v),
+ f AS (SELECT user_id, min(CASE WHEN v <> 0 THEN event_id END) AS first FROM z GROUP BY 1) SELECT user_id, coalesce(arg_max(v, event_id) FILTER (event_id >= first), 0.0) AS forecast FROM z JOIN f USING (user_id) GROUP BY 1"""
+)
 def last_value_forecast(spark, sf):
-    return cache_events(spark, sf).where("value is not null and not isnan(value) and value <> 0").groupBy("user_id").agg(F.max_by("value", "event_id").alias("forecast"))
+    v = F.when(F.col("block") % 3 == 0, 0.0).when(F.col("block") % 7 == 1, F.lit(float("nan"))).otherwise(F.col("value"))
+    return planner.forecast_last(cache_events(spark, sf).select("user_id", "event_id", v.alias("v")), "user_id", "event_id", "v")
 
 
-@query("WITH p AS (SELECT p_size AS x, min(p_retailprice) AS c FROM part WHERE p_size <= 5 GROUP BY 1), d AS (SELECT p_size AS y, min(p_retailprice) AS c FROM part WHERE p_size > 45 GROUP BY 1) SELECT x, y, round(1000.0 / x * p.c / 3600 + 1000.0 / y * d.c / 3600, 6) AS gpu_hours FROM p CROSS JOIN d")
+@query("WITH p AS (SELECT p_size AS x, min(p_retailprice) AS c FROM part WHERE p_size <= 25 GROUP BY 1), d AS (SELECT p_size AS y, min(p_retailprice) AS c FROM part WHERE p_size > 25 GROUP BY 1) SELECT x, y, round(1000.0 / x * p.c / 3600 + 1000.0 / y * d.c / 3600, 6) AS gpu_hours FROM p CROSS JOIN d")
 def cost_cross(spark, sf):
     part = table(spark, sf, "part")
-    p = part.where("p_size <= 5").groupBy(F.col("p_size").alias("x")).agg(F.min("p_retailprice").alias("a"))
-    d = part.where("p_size > 45").groupBy(F.col("p_size").alias("y")).agg(F.min("p_retailprice").alias("b"))
-    return p.crossJoin(F.broadcast(d)).select("x", "y", F.round(1000.0 / F.col("x") * F.col("a") / 3600 + 1000.0 / F.col("y") * F.col("b") / 3600, 6).alias("gpu_hours"))
+    p = part.where("p_size <= 25").groupBy(F.col("p_size").alias("x")).agg(F.min("p_retailprice").alias("a"))
+    d = part.where("p_size > 25").groupBy(F.col("p_size").alias("y")).agg(F.min("p_retailprice").alias("b"))
+    return planner.cost_pairs(p, d).select("x", "y", F.round("gpu_hours", 6).alias("gpu_hours"))
 
 
-@query("SELECT l_orderkey, l_partkey, round(0.00001 * l_quantity * l_quantity + 0.02 * l_quantity + 5, 6) AS prefill_ms, round(4 + 0.01 * l_quantity + 0.0001 * l_extendedprice, 6) AS decode_ms FROM lineitem WHERE l_orderkey % 20 = 0")
+@query("SELECT l_orderkey, l_partkey, round(0.00001 * l_quantity * l_quantity + 0.02 * l_quantity + 5, 6) AS prefill_ms, round(4 + 0.01 * l_quantity + 0.0001 * l_extendedprice, 6) AS decode_ms FROM lineitem")
 def timing_polynomials(spark, sf):
     q = F.col("l_quantity")
-    return table(spark, sf, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_partkey", F.round(0.00001 * q * q + 0.02 * q + 5, 6).alias("prefill_ms"), F.round(4 + 0.01 * q + 0.0001 * F.col("l_extendedprice"), 6).alias("decode_ms"))
+    prefill, decode = planner.timing(q, 0.00001, 0.02, 5), planner.decode_timing(q, F.col("l_extendedprice"), 4, 0.01, 0.0001)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", F.round(prefill, 6).alias("prefill_ms"), F.round(decode, 6).alias("decode_ms"))
 
 
 @query("SELECT conv_id, turn, concat_ws(',', CASE WHEN role NOT IN ('user', 'assistant') THEN 'role' END, CASE WHEN trim(text, ' ') = '' THEN 'text' END, CASE WHEN length(text) > 200 THEN 'length' END, CASE WHEN turn > 6 THEN 'turn' END) AS violations FROM conversations")
@@ -190,12 +200,24 @@ def parent_resolution(spark, sf):
     return c.join(known, ["worker", "parent"], "left").where("parent is null or _k").select("worker", "event_id", "block", "parent")
 
 
-@query("SELECT p_partkey, round(CASE WHEN p_retailprice < 1200 THEN p_retailprice / 1000 ELSE least(1.0, p_retailprice / 1500) END, 9) AS correction FROM part")
+@query("SELECT p_partkey, round(CASE WHEN p_size > 3 THEN p_retailprice / (p_size * 40.0) ELSE 1.0 END, 9) AS correction FROM part")
 def correction_factor(spark, sf):
-    p = F.col("p_retailprice")
-    return table(spark, sf, "part").select("p_partkey", F.round(F.when(p < 1200, p / 1000).otherwise(F.least(F.lit(1.0), p / 1500)), 9).alias("correction"))
+    expected = F.when(F.col("p_size") > 3, F.col("p_size") * 40.0).otherwise(F.lit(0.0))
+    return table(spark, sf, "part").select("p_partkey", F.round(planner.correction(F.col("p_retailprice"), expected), 9).alias("correction"))
+
+
+_CURVE = [(0.0, 1.0), (60_000.0, 1.3), (150_000.0, 2.4), (250_000.0, 2.9), (400_000.0, 5.0)]
+
+
+def _spline_sql(x: str) -> str:
+    """Each stretch's cubic, its powers written out."""
+    pieces = planner.spline(_CURVE)
+    x = f"greatest(least({x}, {_CURVE[-1][0]}), {_CURVE[0][0]})"
+    cases = " ".join(f"WHEN {x} < {end} THEN {c[0]!r} + ({x} - {x0}) * {c[1]!r} + power({x} - {x0}, 2) * {c[2]!r} + power({x} - {x0}, 3) * {c[3]!r}" for (x0, c), (end, _) in zip(pieces[:-1], _CURVE[1:]))
+    x0, c = pieces[-1]
+    return f"CASE {cases} ELSE {c[0]!r} + ({x} - {x0}) * {c[1]!r} + power({x} - {x0}, 2) * {c[2]!r} + power({x} - {x0}, 3) * {c[3]!r} END"
 
 
-@query("SELECT o_orderkey, round(CASE WHEN o_totalprice <= 100000.0 THEN 1.0 + (greatest(o_totalprice, 0.0) - 0.0) * 1e-05 WHEN o_totalprice <= 300000.0 THEN 2.0 + (greatest(o_totalprice, 100000.0) - 100000.0) * 5e-06 ELSE 3.0 END, 9) AS itl FROM orders")
+@query(f"SELECT o_orderkey, round({_spline_sql('o_totalprice')}, 6) AS itl FROM orders")
 def decode_interpolation(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", F.round(planner.interpolate(F.col("o_totalprice"), [(0, 1.0), (100_000, 2.0), (300_000, 3.0)]), 9).alias("itl"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(planner.cubic(F.col("o_totalprice"), _CURVE), 6).alias("itl"))

@@ -13,6 +13,8 @@ from ..sources.tables import cache_events, table, trace_blocks, trace_requests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Queries that SQL can't express; each has a test of its own.
+NO_SQL: set[str] = set()
 FLAGSHIP = "route_argmin"
 
 BLOCK = 512
@@ -42,6 +44,8 @@ def query(sql: str):
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql
+        else:
+            NO_SQL.add(f.__name__)
         return f
 
     return register
@@ -167,24 +171,24 @@ def prefix_match(spark, sf):
 
 
 @query(
-    f"""WITH {_blocks_sql(20)}, s AS (SELECT DISTINCT rid % 64 AS worker, hash FROM blocks WHERE rid % 10 = 0), q AS (SELECT * FROM blocks WHERE rid % 10 = 1),
+    f"""WITH {_blocks_sql(20)}, s AS (SELECT DISTINCT rid % 64 AS worker, hash FROM blocks WHERE rid % 2 = 0), q AS (SELECT * FROM blocks WHERE rid % 2 = 1),
  h AS (SELECT DISTINCT rid, worker, pos FROM q JOIN s USING (hash)) SELECT rid, worker, count(*) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY rid, worker ORDER BY pos) - 1 AS k FROM h) WHERE k = pos GROUP BY 1, 2"""
 )
 def blind_match(spark, sf):
     b = trace_blocks(spark, sf, 20)
-    return prefix.blind_match(b.where("rid % 10 = 0").withColumn("worker", F.col("rid") % 64), b.where("rid % 10 = 1"))
+    return prefix.blind_match(b.where("rid % 2 = 0").withColumn("worker", F.col("rid") % 64), b.where("rid % 2 = 1"))
 
 
-@query("SELECT DISTINCT l_partkey AS hash, l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 100 = 0) AS present FROM lineitem WHERE l_orderkey % 100 = 1")
+@query("SELECT DISTINCT l_partkey AS hash, l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < DATE '1995-06-17') AS present FROM lineitem")
 def presence_scan(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("hash"))
-    return prefix.presence(rows.where("l_orderkey % 100 = 0"), rows.where("l_orderkey % 100 = 1"))
+    rows = table(spark, sf, "lineitem").select("l_shipdate", F.col("l_partkey").alias("hash"))
+    return prefix.presence(rows.where("l_shipdate < date'1995-06-17'"), rows)
 
 
-@query("SELECT l_orderkey AS rid, count(DISTINCT CASE WHEN l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 10 = 0) THEN l_partkey END) AS new_blocks FROM lineitem WHERE l_orderkey % 10 = 1 GROUP BY 1")
+@query("SELECT l_orderkey AS rid, count(DISTINCT CASE WHEN l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 2 = 0) THEN l_partkey END) AS new_blocks FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1")
 def new_blocks_anti(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("rid"), F.col("l_partkey").alias("hash"))
-    return prefix.new_blocks(rows.where("rid % 10 = 0"), rows.where("rid % 10 = 1"))
+    return prefix.new_blocks(rows.where("rid % 2 = 0"), rows.where("rid % 2 = 1"))
 
 
 def _costs(spark, sf):
@@ -286,9 +290,10 @@ def avg_of_ratios(spark, sf):
     return metrics.mean_of_ratios(table(spark, sf, "events"), "user_id", "event_type", "value").select("event_type", F.round("mean_ratio", 6).alias("mean_ratio"), "series")
 
 
-@query(f"WITH {_EVENTS}, g AS (SELECT user_id, block, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) AS gap FROM ev) SELECT user_id, count(*) AS chunks, round(CAST(sum(gap) AS DOUBLE) / sum(CASE WHEN gap IS NOT NULL THEN greatest(block, 1) END), 6) AS itl FROM g GROUP BY 1")
+@query(f"WITH {_EVENTS}, g AS (SELECT user_id, block, ms, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) AS gap FROM ev) SELECT user_id, count(*) AS chunks, min(ms) - min(ms // 86400000 * 86400000) AS ttft, round(CAST(sum(gap) AS DOUBLE) / sum(CASE WHEN gap IS NOT NULL THEN greatest(block, 1) END), 6) AS itl FROM g GROUP BY 1")
 def ttft_itl(spark, sf):
-    return metrics.chunk_latency(cache_events(spark, sf), "user_id", "ms", "block").select("user_id", "chunks", F.round("itl", 6).alias("itl"))
+    chunks = cache_events(spark, sf).withColumn("start", F.expr("ms div 86400000 * 86400000"))  # a request starts with its day
+    return metrics.chunk_latency(chunks, "user_id", "ms", "block", "start").select("user_id", "chunks", "ttft", F.round("itl", 6).alias("itl"))
 
 
 @query(f"WITH {_EVENTS}, g AS (SELECT user_id, event_id, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) AS delta FROM ev) SELECT user_id, event_id, delta FROM g WHERE delta > 0")
@@ -326,8 +331,7 @@ _PLAN = f"""{_REQUESTS}, l AS (SELECT ts // 86400000 AS interval, count(*) AS nu
 
 
 def _plan(spark, sf):
-    p = planner.replicas(trace.interval_load(trace_requests(spark, sf), 86_400_000), 60.0, 20.0, 2.5, 0.8, 1)
-    return p.withColumn("prefill", F.greatest(F.ceil(F.col("num_req") * F.col("isl") / 60.0 * 0.8 / 20.0 / 2), F.lit(1)).cast("long")).select("interval", "prefill", "decode")
+    return planner.replicas(trace.interval_load(trace_requests(spark, sf), 86_400_000), 60.0, 20.0, 2.5, 0.8, 2, 1).select("interval", "prefill", "decode")
 
 
 @query(f"WITH {_PLAN} SELECT interval, prefill, decode FROM plan")
@@ -354,13 +358,20 @@ def fold_deltas(spark, sf):
     return text.fold(table(spark, sf, "conversations"), "conv_id", "turn", "text")
 
 
+_SAID = "replace(replace(text, '<think>', ''), '</think>', '')"
+
+
 @query(
-    """WITH m AS (SELECT conv_id, turn, substr(text, 1, 20) AS a, substr(text, 21, 20) AS b, substr(text, 41, 20) AS c FROM conversations)
- SELECT conv_id, turn, trim(CASE WHEN turn % 2 = 0 THEN concat(b, c) ELSE b END, ' ') AS normal, trim(CASE WHEN turn % 2 = 0 THEN a ELSE concat(a, c) END, ' ') AS reasoning FROM m"""
+    f"""WITH m AS (SELECT conv_id, turn, substr({_SAID}, 1, 20) AS a, substr({_SAID}, 21, 20) AS b, substr({_SAID}, 41) AS c FROM conversations)
+ SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN trim(concat(b, c), W) WHEN 1 THEN trim(b, W) WHEN 2 THEN concat(a, '</think>', b, c) ELSE trim(concat(a, '</think>', b), W) END AS normal,
+  CASE turn % 4 WHEN 0 THEN trim(a, W) WHEN 1 THEN trim(concat(a, '<think>', c), W) WHEN 2 THEN '' ELSE trim(c, W) END AS reasoning FROM m""".replace(", W)", ", concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))")
 )
 def reasoning_split(spark, sf):
-    a, b, c = (F.substring("text", i, 20) for i in (1, 21, 41))
-    marked = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think>"), a, F.lit("</think>"), b, c)).otherwise(F.concat(F.lit("<think>"), a, F.lit("</think>"), b, F.lit("<think>"), c))
+    said = F.expr(_SAID)
+    a, b, c = F.substring(said, 1, 20), F.substring(said, 21, 20), F.substring(said, 41, 1 << 30)
+    begin, end = F.lit("<think>"), F.lit("</think>")
+    shapes = [F.concat(begin, a, end, b, c), F.concat(begin, a, begin, c, end, b), F.concat(a, end, b, c), F.concat(a, end, b, begin, c)]
+    marked = F.element_at(F.array(*shapes), (F.col("turn") % 4 + 1).cast("int"))
     normal, inner = text.reasoning(marked)
     return table(spark, sf, "conversations").select("conv_id", "turn", normal.alias("normal"), inner.alias("reasoning"))
 
@@ -385,17 +396,17 @@ def param_violations(spark, sf):
     return v.select("event_id", text.violations([("temperature", F.col("temperature").between(0, 2)), ("top_p", F.col("top_p").between(0, 1)), ("n", F.col("n").between(1, 90))]).alias("violations"))
 
 
-@query(f"WITH {_EVENTS} SELECT event_id, 'cache_events_total' AS name, event_type AS kind, CAST(block AS DOUBLE) AS value FROM ev")
+@query(f"WITH {_EVENTS} SELECT event_id, 'cache_events_total' AS name, concat(event_type, ',a=', chr(34), 'b', chr(34), '}}') AS kind, CAST(block AS DOUBLE) AS value FROM ev")
 def prometheus_lines(spark, sf):
     e = cache_events(spark, sf)
-    line = F.concat(F.lit('cache_events_total{kind="'), F.col("event_type"), F.lit('",worker="'), F.col("worker").cast("string"), F.lit('"} '), F.col("block").cast("string"))
+    line = F.concat(F.lit('cache_events_total{kind="'), F.col("event_type"), F.lit(',a=\\"b\\"}",worker="'), F.col("worker").cast("string"), F.lit('"} '), F.col("block").cast("string"))
     return e.select("event_id", text.sample_line(line).alias("s")).select("event_id", "s.name", F.col("s.labels")["kind"].alias("kind"), "s.value")
 
 
-@query("SELECT conv_id, turn, role AS event, replace(text, chr(10), ' ') AS data FROM conversations")
+@query("SELECT conv_id, turn, role AS event, replace(text, chr(13), chr(10)) AS data, CAST(turn AS VARCHAR) AS id, ['kept'] AS comments FROM conversations WHERE NOT contains(text, chr(10) || chr(10))")
 def sse_messages(spark, sf):
-    c = table(spark, sf, "conversations")
-    frame = F.concat(F.lit("event: "), F.col("role"), F.lit("\ndata: "), F.translate("text", "\n", " "), F.lit("\n\n"))
+    c = table(spark, sf, "conversations").where("not contains(text, '\n\n')")  # such a text is two messages
+    frame = F.concat(F.lit(": kept\r\nevent: "), F.col("role"), F.lit("\r\nid: "), F.col("turn").cast("string"), F.lit("\r\ndata: "), F.replace("text", F.lit("\n"), F.lit("\r\ndata: ")), F.lit("\r\n\r\n"))
     return c.select("conv_id", "turn", F.inline(text.sse(frame)))
 
 

@@ -12,8 +12,9 @@ def write_trace(rows: DataFrame, path: str, rows_a_file: int = 0) -> None:
 
 
 def exposition_line(name: str, labels: str, value: str) -> Column:
-    """A sample as a line of the Prometheus text format, labels by name (K7)."""
-    pairs = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"')))
+    """A sample as a line of the Prometheus text format, labels by name, their values escaped (K7)."""
+    escaped = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    pairs = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit('="'), escaped(e["value"]), F.lit('"')))
     return F.concat(F.col(name), F.when(F.size(labels) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(F.lit("")), F.lit(" "), F.col(value).cast("string"))
 
 
@@ -48,4 +49,5 @@ def merge_profiles(*sweeps: DataFrame) -> DataFrame:
 def snapshot(state: DataFrame, path: str) -> None:
     """An index state as store events that can be replayed."""
     events = state.select("worker", F.lit("stored").alias("kind"), "parent", "block", "pos")
-    events.repartition("worker").sortWithinPartitions("worker", "pos").write.mode("overwrite").parquet(path)
+    # a large worker is several tasks: parents stand before their children in the order of place, file by file
+    events.repartitionByRange("worker", "pos").sortWithinPartitions("worker", "pos").write.mode("overwrite").parquet(path)

@@ -21,8 +21,8 @@ def first_sources(stream: DataFrame, ts: str, block: list[str], late: str) -> Da
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(block)
 
 
-def batches(stream: DataFrame, key: str, order: str, most: int) -> DataFrame:
-    """Runs of one kind of a key, cut at most events, given out when they close (ST10).
+def batches(stream: DataFrame, key: str, order: str, most: int, window_ms: int = 1000) -> DataFrame:
+    """Runs of one kind of a key, cut at most events, given out when they close, or when the key has been quiet for window_ms (ST10).
 
     Events of a key must come in order of the order column from micro-batch to micro-batch;
     within one they are sorted here.  State is the open batch alone.
@@ -31,6 +31,10 @@ def batches(stream: DataFrame, key: str, order: str, most: int) -> DataFrame:
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kind, n, first = state.get if state.exists else (None, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(k[0], kind, n, first)], columns=[key, "kind", "events", "first_event"])
+            return
         out = []
         rows = pd.concat(list(parts)).sort_values(order)
         for now, number in zip(rows["kind"], rows[order], strict=True):
@@ -41,9 +45,10 @@ def batches(stream: DataFrame, key: str, order: str, most: int) -> DataFrame:
                 kind, first = now, int(number)
             n += 1
         state.update((kind, n, first))
+        state.setTimeoutDuration(window_ms)
         yield pd.DataFrame(out, columns=[key, "kind", "events", "first_event"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, shape, "kind string, n long, first long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, shape, "kind string, n long, first long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def expiring(stream: DataFrame, key: str, ts: str, ttl_ms: int, late: str) -> DataFrame:

@@ -52,7 +52,7 @@ def test_exposition(spark, tmp_path):
 
 def test_sse_timestamps_registry_and_snapshots(spark, tmp_path):
     (tmp_path / "s.txt").write_text('event: delta\ndata: {"a":1}\n\ndata: x\ndata: y\n\n')
-    assert [(r.place, r.event, r.data) for r in readers.sse_messages(spark, f"{tmp_path}/s.txt").orderBy("place").collect()] == [(0, "delta", '{"a":1}'), (1, "", "x\ny")]
+    assert [(r.place, r.event, r.data) for r in readers.sse_messages(spark, f"{tmp_path}/s.txt").orderBy("place").collect()] == [(0, "delta", '{"a":1}'), (1, None, "x\ny")]
     df = spark.createDataFrame([("2024-01-02 03:04:05",), ("02/01/2024",), ("never",)], "s string")
     assert [str(r[0]) for r in df.select(readers.timestamp(F.col("s"), "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy")).collect()] == ["2024-01-02 03:04:05", "2024-01-02 00:00:00", "None"]
     changes = spark.createDataFrame([("v1/a", 1, "x"), ("v1/a", 2, "y"), ("v1/b", 1, "z"), ("v1/b", 3, None), ("v2/c", 1, "w")], "key string, revision long, value string")

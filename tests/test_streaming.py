@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,21 @@ def test_batches(source):
     assert set(got) <= set(want) and len(want) - len(got) <= 8  # the last of each worker is still open
 
 
+def test_a_quiet_batch_is_given_out(spark, tmp_path):
+    rows = cache_events(spark, SF)
+    rows.where("event_id < 100").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    q = folds.batches(stream, "worker", "event_id", 2, 200).writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="300 milliseconds").start()
+    want = sorted((r.worker, r.first_event, r.events) for r in batch.batches(rows.where("event_id < 100"), "worker", "event_id", 2).collect())
+    try:
+        until = time.time() + 60
+        while time.time() < until and spark.table("quiet").count() < len(want):
+            time.sleep(0.5)
+        assert sorted((r.worker, r.first_event, r.events) for r in spark.table("quiet").collect()) == want
+    finally:
+        q.stop()
+
+
 def test_first_sources(source):
     rows, stream, tmp = source
     got = run(folds.first_sources(stream, "ts", ["block"], "60 days"), tmp)
