@@ -82,4 +82,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+ORACLE_SQL: dict[str, str] = {
+    # classes of equal sets, pairs of classes that share a shingle, and what their links reach
+    "op9_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])))) END AS s FROM w),
+ c AS (SELECT doc_id, s, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS class FROM s),
+ one AS (SELECT class, n, unnest(s) AS shingle FROM c WHERE n > 0 AND doc_id = class),
+ link AS (SELECT a.class AS a, b.class AS b FROM one a JOIN one b ON a.shingle = b.shingle AND a.class <> b.class GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ reach AS (SELECT class AS node, class AS root FROM c WHERE doc_id = class UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.node)
+ SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE (SELECT min(root) FROM reach WHERE node = class) END AS component_id FROM c""",
+}
