@@ -425,4 +425,4 @@ def marker_ranges(spark, sf):
     return whole.select("rid", F.inline(text.marker_ranges(F.col("tokens"), 1)))
 
 
-from . import more, state_reports  # noqa: E402,F401  register their queries
+from . import more, state_reports, trees_text  # noqa: E402,F401  register their queries

@@ -86,3 +86,85 @@ def registry_state(changes: DataFrame, prefix: str) -> DataFrame:
     return last.select("key", "revision", "x.value").where("value is not null")
 
 
+
+
+def arrays(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """NPZ files: a row for each place of their equally long one-dimensional arrays, file, place and a double for each name.
+
+    Files are read where they lie, a task each; one that lacks an array, or whose arrays differ in length, stops the job.
+    """
+    import pyarrow as pa
+
+    def step(batches):
+        import io
+
+        import numpy as np
+
+        for batch in batches:
+            for file, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with np.load(io.BytesIO(raw), allow_pickle=False) as z:
+                    columns = [np.asarray(z[n], float).ravel() for n in names]
+                if len({len(c) for c in columns}) > 1:
+                    raise ValueError(f"{file}: arrays of different lengths")
+                n = len(columns[0]) if columns else 0
+                yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(range(n), pa.int32()), *[pa.array(c, pa.float64()) for c in columns]], ["file", "place", *names])
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+    return raw.mapInArrow(step, "file string, place int, " + ", ".join(f"`{n}` double" for n in names))
+
+
+def result_pairs(spark: SparkSession, folder: str, results: str, deployment: str) -> DataFrame:
+    """Result documents with the deployment document of their folder: folder, json, deployment."""
+    read = lambda glob: spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1).alias("folder"), "value")
+    return read(results).withColumnRenamed("value", "json").join(read(deployment).withColumnRenamed("value", "deployment"), "folder")
+
+
+def json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A file that is one JSON list, a row for each item."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def throughput_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Result rows of CSV files with a header."""
+    return spark.read.option("header", True).schema(columns).csv(path)
+
+
+def prompts(spark: SparkSession, path: str) -> DataFrame:
+    """A batch of prompts, JSON lines: text and its place by file and offset; lines without text are left out."""
+    rows = spark.read.schema("text STRING").json(path).where("text is not null")
+    return rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"), "text")
+
+
+CLIENT = "time TIMESTAMP, results ARRAY<STRUCT<status: INT, request_elapsed_time: DOUBLE, result: STRUCT<choices: ARRAY<STRUCT<message: STRUCT<content: STRING>>>>>>"
+
+
+def client_logs(spark: SparkSession, folder: str, expected: int = 100) -> DataFrame:
+    """Results of fault-test clients (files client_<n>.log.txt, JSON lines): client, time, status, seconds, ok.
+
+    A result is good if it has content of at least the expected length (S29); lines that aren't JSON are left out.
+    """
+    rows = spark.read.schema(CLIENT).option("pathGlobFilter", "client_*.log.txt").option("recursiveFileLookup", True).json(folder)
+    rows = rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"client_([^_.]+)", 1).alias("client"), "time", F.explode("results").alias("r"))
+    content = F.get(F.col("r.result.choices"), F.lit(0))["message"]["content"]
+    return rows.select("client", "time", F.col("r.status").alias("status"), F.col("r.request_elapsed_time").alias("seconds"), F.coalesce(F.length(content) >= expected, F.lit(False)).alias("ok"))
+
+
+def marked_lines(spark: SparkSession, folder: str, markers: dict[str, str], glob: str = "*.log*") -> DataFrame:
+    """Lines of process logs that hold a marker: process (the file), time (at the line's begin, ISO), marker."""
+    rows = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(folder).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("process"), "value")
+    kind = F.lit(None).cast("string")
+    for name, text_ in markers.items():
+        kind = F.coalesce(kind, F.when(F.contains("value", F.lit(text_)), name))
+    at = F.regexp_extract("value", r"(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d+)?Z?)", 1)
+    return rows.select("process", F.try_to_timestamp(F.nullif(at, F.lit(""))).alias("time"), kind.alias("marker")).where("marker is not null")
+
+
+def load_totals(results: DataFrame) -> DataFrame:
+    """Result files of several clients as one report: requests, errors, mean weighted by requests (S32).  results: requests, errors, mean."""
+    return results.agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"), (F.sum(F.col("mean") * F.col("requests")) / F.sum("requests")).alias("mean"))
+
+
+def replayed(spark: SparkSession, path: str, event: str, most: int | None = None, files_at_once: int = 1) -> DataFrame:
+    """A recording as a stream, file by file, up to so many events by time if asked."""
+    rows = spark.readStream.schema(f"timestamp LONG, event {event}").option("maxFilesPerTrigger", files_at_once).json(path)
+    return rows if most is None else rows.limit(most)
