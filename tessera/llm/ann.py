@@ -112,9 +112,12 @@ def _meet(k: int, width: int):
         few = min(k + 1, score.shape[1])
         kth = -np.partition(-score, few - 1, axis=1)[:, few - 1]
         for row, (query, limit) in enumerate(zip(queries, kth, strict=True)):
-            some = sorted(((-score[row, c], i) for c in np.flatnonzero(score[row] >= limit) for i in lists[c] if i != query[0]))
+            # the product of matrices picks, one sum of fixed order ranks: a pair has the same score in any block
+            near = np.flatnonzero(score[row] >= limit - 1e-12)
+            exact = [-float(np.dot(own[row], vectors[c]) / (np.sqrt(np.dot(own[row], own[row])) * np.sqrt(np.dot(vectors[c], vectors[c])))) for c in near]
+            some = sorted((s, i) for s, c in zip(exact, near, strict=True) for i in lists[c] if i != query[0])
             for s, i in some[:k]:
-                ids.append((query[0], i, -float(s)))
+                ids.append((query[0], i, -s))
 
     def _vectors_of(rows, width):
         return np.array([v for _, v in rows], np.float64).reshape(len(rows), width)
@@ -186,7 +189,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.15)
     listed = classes.select(F.col("ids")[0].alias("vec_id"), "ids", "embedding")
     shape = "vec_id long, ids array<long>, embedding array<double>, keys array<long>"
     index = common.materialise(listed.mapInArrow(_keyed(curves), shape), "index")
-    asked = queries.where(F.size("embedding") == width).dropDuplicates(["vec_id"]).select("vec_id", F.array("vec_id").alias("ids"), "embedding")
+    # of an id with several vectors the one with the least hash asks
+    asked = queries.where(F.size("embedding") == width).groupBy("vec_id").agg(F.min_by("embedding", F.struct(F.xxhash64("embedding"), F.hash("embedding"))).alias("embedding"))
+    asked = asked.select("vec_id", F.array("vec_id").alias("ids"), "embedding")
     asked = asked.mapInArrow(_keyed(curves), shape)
 
     total = index.count()
