@@ -142,3 +142,28 @@ def split_ranges(ranges: Column, sizes: Column) -> Column:
 
     exact = (F.size(ranges) > 0) & (F.size(F.array_except(ends, wanted)) == 0) & (F.element_at(ends, -1) == F.element_at(wanted, -1))
     return F.when(exact, F.transform(sizes, item))
+
+
+def message_text(messages: Column) -> Column:
+    """An array of (role, content, parts) as lines: content, or the texts of its parts."""
+    one = lambda m: F.coalesce(m["content"], F.array_join(F.transform(F.filter(m["parts"], lambda p: p["type"] == "text"), lambda p: p["text"]), "\n"), F.lit(""))
+    return F.array_join(F.transform(messages, lambda m: F.concat_ws(": ", m["role"], one(m))), "\n")
+
+
+def slug(name: Column) -> Column:
+    """A model name as a label: lower case, anything but letters, digits, dash and underscore an underscore."""
+    return F.regexp_replace(F.lower(name), "[^a-z0-9_-]", "_")
+
+
+def folder_config(path: Column, prefix: str = "ctx") -> Column:
+    """Numbers in a folder name such as ctx2_gen4_dep16_batch64, by the word before each."""
+    name = F.regexp_extract(path, r"([^/]+)/?$", 1)
+    words, numbers = (F.regexp_extract_all(name, F.lit(r"([a-z]+)(\d+)"), i) for i in (1, 2))
+    first = F.filter(F.transform(words, lambda w, i: F.when(F.array_position(words, w) == i + 1, i)), lambda i: i.isNotNull())
+    pairs = F.map_from_entries(F.transform(first, lambda i: F.struct(F.get(words, i).alias("key"), F.get(numbers, i).cast("long").alias("value"))))
+    return F.when(F.map_contains_key(pairs, F.lit(prefix)), pairs)
+
+
+def json_dump(value: Column) -> Column:
+    """JSON with a blank after each comma and colon outside of strings."""
+    return F.regexp_replace(F.to_json(value) if not isinstance(value, str) else F.col(value), r'([,:])(?=(?:[^"\\]|\\.|"(?:[^"\\]|\\.)*")*$)', "$1 ")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stops, text, tokens, tool_formats
-from ..operators import sampling, trace, tree
+from ..operators import folds, policies, sampling, trace, tree
 from ..sources.tables import cache_events, table, trace_blocks
 from .registry import _EVENTS, _blocks_sql, query
 
@@ -181,3 +184,91 @@ def sinusoid_rate(spark, sf):
 @query(f"WITH {_blocks_sql(50)} SELECT rid, pos, hash + 1000000 AS hash FROM blocks")
 def offset_ids(spark, sf):
     return sampling.offset_ids(trace_blocks(spark, sf), 1_000_000)
+
+
+# ------------------------------------------------------------------ folds and policies
+
+_DELTAS = "d AS (SELECT conv_id % 50 AS id, turn % 2 AS choice, conv_id * 100 + turn AS seq, CASE WHEN turn < 2 THEN role END AS role, CASE WHEN turn % 3 <> 2 THEN text END AS content, CASE WHEN turn > 2 THEN concat('stop', turn) END AS finish, length(text) AS n, CASE WHEN conv_id % 50 = 7 AND turn = 1 THEN 'broken' END AS error FROM conversations)"
+
+
+@query(
+    f"""WITH {_DELTAS}, w AS (SELECT id, arg_min(error, seq) FILTER (error IS NOT NULL) AS error, arg_max(n, seq) AS n FROM d GROUP BY 1),
+ c AS (SELECT id, choice, arg_min(role, seq) FILTER (role IS NOT NULL) AS role, coalesce(string_agg(content, '' ORDER BY seq), '') AS content, arg_max(finish, seq) FILTER (finish IS NOT NULL) AS finish FROM d GROUP BY 1, 2)
+ SELECT c.id, choice, CASE WHEN error IS NULL THEN role END AS role, CASE WHEN error IS NULL THEN content END AS content, CASE WHEN error IS NULL THEN finish END AS finish, CASE WHEN error IS NULL THEN n END AS prompt_tokens, CASE WHEN error IS NULL THEN n END AS completion_tokens, error FROM c JOIN w ON c.id = w.id"""
+)
+def fold_chat(spark, sf):
+    c, t = table(spark, sf, "conversations"), F.col("turn")
+    n = F.length("text").cast("long")
+    d = c.select(
+        (F.col("conv_id") % 50).alias("id"), (t % 2).alias("choice"), (F.col("conv_id") * 100 + t).alias("seq"), F.when(t < 2, F.col("role")).alias("role"), F.when(t % 3 != 2, F.col("text")).alias("content"),
+        F.when(t > 2, F.concat(F.lit("stop"), t.cast("string"))).alias("finish"), n.alias("prompt_tokens"), n.alias("completion_tokens"), F.when((F.col("conv_id") % 50 == 7) & (t == 1), "broken").alias("error"),
+    )
+    return folds.chat(d)
+
+
+@query("SELECT vec_id % 100 AS id, count(*) * 64 AS n, arg_min(embedding[1], vec_id) AS first, CAST(sum(vec_id % 7) AS BIGINT) AS prompt_tokens FROM embeddings GROUP BY 1")
+def fold_embeddings(spark, sf):
+    e = table(spark, sf, "embeddings").select((F.col("vec_id") % 100).alias("id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("data"), (F.col("vec_id") % 7).alias("prompt_tokens"))
+    f = folds.embeddings(e)
+    return f.select("id", F.size("data").cast("long").alias("n"), F.col("data")[0].alias("first"), "prompt_tokens")
+
+
+@query("SELECT o_custkey AS id, CASE WHEN count(*) = 1 THEN min(o_orderkey) END AS value, CASE WHEN count(*) <> 1 THEN concat('expected one response, got ', count(*)) END AS error FROM orders GROUP BY 1")
+def fold_only_one(spark, sf):
+    return folds.only_one(table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("value")))
+
+
+_STOCK = f"{_EVENTS}, s AS (SELECT worker, block, min(event_id) AS inserted, max(event_id) AS touched, count(*) AS touches, block % 3 AS children FROM ev GROUP BY 1, 2)"
+
+
+def _stock(spark, sf):
+    g = cache_events(spark, sf).groupBy("worker", "block")
+    return g.agg(F.min("event_id").alias("inserted"), F.max("event_id").alias("touched"), F.count("*").alias("touches")).withColumn("children", F.col("block") % 3)
+
+
+_BY = {"fifo": "inserted, block", "lru": "touched, block", "levels": "CAST(touches >= 2 AS INTEGER) + CAST(touches >= 4 AS INTEGER) + CAST(touches >= 8 AS INTEGER), touched, block", "lineage": "touched, block"}
+
+
+@query(
+    f"WITH {_STOCK} "
+    + " UNION ALL ".join(f"SELECT '{name}' AS policy, worker, block, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY {by}) AS k FROM s{' WHERE children = 0' if name == 'lineage' else ''}) WHERE k <= 5" for name, by in _BY.items())
+)
+def reuse_policies(spark, sf):
+    out = [policies.reuse(_stock(spark, sf), "worker", 5, name).select(F.lit(name).alias("policy"), "worker", "block", "place") for name in _BY]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query(f"WITH {_EVENTS}, b AS (SELECT *, coalesce(sum(block) OVER (PARTITION BY worker ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ev) SELECT worker, event_id, block FROM b WHERE before < 200")
+def preempted_requests(spark, sf):
+    e = cache_events(spark, sf).select("worker", "event_id", "block").withColumn("need", F.lit(200))
+    return policies.preempted(e, "worker", "event_id", "block", "need").select("worker", "event_id", "block")
+
+
+@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / 0.7, 6) AS first, len(embedding) AS n FROM embeddings")
+def tempered_logits(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", policies.processed(F.col("embedding").cast("array<double>"), policies.temperature(0.7)).alias("l"))
+    return e.select("vec_id", F.round(F.col("l")[0], 6).alias("first"), F.size("l").cast("long").alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <= 40 THEN p_size END AS worker, CAST(floor(p_retailprice / power(2.0, p_size % 5)) AS BIGINT) AS halved, greatest(0, p_size - 30) AS less FROM part")
+def direct_and_decay(spark, sf):
+    p = table(spark, sf, "part")
+    workers = p.where("p_size <= 40").select(F.col("p_size").alias("worker"))
+    d = policies.direct(p, workers, "p_size")
+    return d.select("p_partkey", "worker", policies.decayed(F.col("p_retailprice"), F.col("p_size") % 5).alias("halved"), policies.decayed(F.col("p_size"), F.lit(30), "less").alias("less"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey BETWEEN 16 AND 65536 AND (l_partkey & (l_partkey - 1)) = 0")
+def emitted_events(spark, sf):
+    return policies.emitted(table(spark, sf, "lineitem"), "l_partkey", "powers").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT DISTINCT p_brand, replace(replace(lower(p_brand), '#', '_'), ' ', '_') AS slug FROM part")
+def model_slugs(spark, sf):
+    return table(spark, sf, "part").select("p_brand", text.slug(F.col("p_brand")).alias("slug")).distinct()
+
+
+@query("SELECT p_partkey, p_size AS gen, p_partkey AS batch FROM part WHERE p_size % 2 = 0")
+def folder_configs(spark, sf):
+    path = F.concat(F.lit("runs/"), F.when(F.col("p_size") % 2 == 0, "ctx1_gen").otherwise("gen"), F.col("p_size").cast("string"), F.lit("_batch"), F.col("p_partkey").cast("string"))
+    return table(spark, sf, "part").select("p_partkey", text.folder_config(path).alias("c")).where("c is not null").select("p_partkey", F.col("c")["gen"].alias("gen"), F.col("c")["batch"].alias("batch"))
