@@ -33,6 +33,8 @@ def fill(shards: list[str], size: int = TABLE, weights: dict[str, int] | None =
     """The shard (its place in shards) of each slot.  size must be prime and at least the number of shards."""
     if len(shards) != len(set(shards)) or not shards or size < len(shards) or any(size % p == 0 for p in range(2, int(size**0.5) + 1)):
         raise ValueError("shards must be distinct and the size a prime that holds them")
+    if any(w < 1 for w in (weights or {}).values()):
+        raise ValueError("weights are 1 at least")
     at = [_hash(s, "offset") % size for s in shards]
     step = [_hash(s, "skip") % (size - 1) + 1 for s in shards]
     turns = [(weights or {}).get(s, 1) for s in shards]

@@ -62,3 +62,10 @@ def test_hot_key_is_parted_and_edges(spark, tmp_path):
     assert sharding.place(df.where("false"), "key", shards).count() == 0
     sharding.write(sharding.place(df, "key", shards, ["n"]), f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(rows)
+
+
+def test_weights_under_one_are_refused():
+    import pytest
+
+    with pytest.raises(ValueError, match="weights"):
+        sharding.fill(["a", "b"], 11, {"a": 0, "b": 0})
