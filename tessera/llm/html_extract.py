@@ -4,7 +4,7 @@ A page is read into a tree of elements.  Each element has a hidden label, conten
 not.  Potentials: one for every element's features (tag, words of class, id and role,
 share of its text in links, length), and one for each parent-child pair of labels.
 Sum-product messages run from the leaves up and from the root down and give every element's
-exact marginal; the text of elements whose marginal is CONTENT or more is kept.
+exact marginal, in which the labelling without any content weighs EMPTY of what it would; the text of elements whose marginal is CONTENT or more is kept.
 
 The potentials are log ratios counted (with smoothing) over labelled pages: ``training_pages``
 makes them, varied in layout and wording, with the label of every element.  Elements that hold no
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CONTENT = 0.5
+#: What the labelling without any content weighs against what its parts say: few pages have no article.
+EMPTY = 0.15
 TRAINING_PAGES = 600
 SMOOTHING = 0.5
 SEED = 5
@@ -248,9 +250,10 @@ class Model:
             own.append((1.0, 0.0 if id(e) in hard else math.exp(s)))
         up: list[tuple[float, float]] = [(1.0, 1.0)] * len(order)  # message to the parent
         belief = [list(x) for x in own]
-        p = self.pair
+        p, none = self.pair, 1.0  # none: the share of the labelling without content
         for i in range(len(order) - 1, 0, -1):
             b0, b1 = belief[i]
+            none *= p[0][0] * b0 / (p[0][0] * b0 + p[0][1] * b1)
             m0, m1 = p[0][0] * b0 + p[0][1] * b1, p[1][0] * b0 + p[1][1] * b1
             z = m0 + m1
             up[i] = m0, m1 = m0 / z, m1 / z
@@ -260,6 +263,7 @@ class Model:
             z = parent[0] + parent[1]
             parent[0] /= z
             parent[1] /= z
+        none *= belief[0][0] / (belief[0][0] + belief[0][1])
         for i in range(1, len(order)):
             q0, q1 = belief[place[id(order[i].parent)]]  # all of the tree, seen from the parent
             q0, q1 = q0 / max(up[i][0], 1e-300), q1 / max(up[i][1], 1e-300)
@@ -268,7 +272,7 @@ class Model:
             b0, b1 = belief[i][0] * (q0 * p[0][0] + q1 * p[1][0]), belief[i][1] * (q0 * p[0][1] + q1 * p[1][1])
             z = b0 + b1
             belief[i][0], belief[i][1] = b0 / z, b1 / z
-        return order, [b[1] / (b[0] + b[1]) for b in belief]
+        return order, [b[1] / (b[0] + b[1]) / (1 - none + EMPTY * none) for b in belief]
 
     def text(self, page: str | None) -> str:
         if not page:

@@ -31,7 +31,7 @@ def test_marginals_are_those_of_all_labellings():
     total, ones = 0.0, [0.0] * len(order)
     for mask in range(1 << len(order)):
         y = [mask >> i & 1 for i in range(len(order))]
-        w = 1.0
+        w = 1.0 if mask else h.EMPTY
         for i, e in enumerate(order):
             w *= own[i][y[i]] * (m.pair[y[place[id(e.parent)]]][y[i]] if i else 1)
         total += w
@@ -87,6 +87,15 @@ def test_pages_without_wrapper_keep_their_text():
     assert text(f"<html><body><form id=aspnet><div class='article'><h1>T</h1>{PARAGRAPH * 3}</div></form></body></html>") == "\n".join(["T", *[own] * 3])
 
 
+def test_short_pages_keep_their_text_and_others_have_none():
+    text, own = h.model().text, PARAGRAPH[3:-4]
+    for n in (1, 2, 3):
+        assert text(f"<div>{PARAGRAPH * n}</div>") == text(f"<html><body><div>{PARAGRAPH * n}</div></body></html>") == "\n".join([own] * n)
+    assert text(f"<body><div><a href=/>Home</a> <a href=/>News</a></div><div>{PARAGRAPH * 2}</div></body>") == "\n".join([own] * 2)
+    for page in ("<nav><ul><li><a href=/>Home</a><li><a href=/>About</a></ul></nav><footer>&copy; 2020 Someone</footer>", "<div class=cookie-notice>We use cookies on this site to make it work well for you</div>", "<form><p>Sign in please</p><input></form>"):
+        assert text(f"<html><body>{page}</body></html>") == ""
+
+
 def test_time_is_linear_in_depth():
     began = time.process_time()
     h.model().text("<i>" * 8000 + "<p>x</p>" * 8000 + "<div><li><td>" * 3000)
