@@ -54,6 +54,18 @@ def test_block_hashes(spark):
     assert more.blocks[0] % (1 << 64) == xxhash.xxh3_64_intdigest(np.array(ids[:4], "<u4").tobytes() + (5).to_bytes(8, "little") + b"\xff" * 8, 1337) and more.blocks[1] == r[0].blocks[1]
 
 
+def test_positional_hashes(spark):
+    """Modes by the bits of the position, the layout of the reference, the fourth mode too (which the query's SQL lacks)."""
+    block = 0xFEDCBA9876543210 - (1 << 64)
+    at = [0, 100, 255, 256, 1000, 65535, 65536, 100_000, (1 << 24) - 1, 1 << 24, 20_000_000, (1 << 25) + 3, 360_000_000, (1 << 31) - 1]
+    df = spark.createDataFrame([(p, block) for p in at], "p long, b long")
+    h = tokens.positional(F.lit(7), F.col("p"), F.col("b"))
+    got = {r.p: r for r in df.select("p", tokens.mode(F.col("p")).alias("m"), h.alias("h"), tokens.position_of(h).alias("back")).collect()}
+    for p in at:
+        m, low = next((m, low) for m, bits, low in [(0, 8, 54), (1, 16, 46), (2, 24, 38), (3, 31, 31)] if p < 1 << bits)
+        assert (got[p].m, got[p].h.upper % (1 << 64), got[p].h.lower, got[p].back) == (m, m << 62 | p << low | block % (1 << low), 7, p)
+
+
 def test_checks(spark):
     df = spark.createDataFrame([("a", "QUJD" * 50, None), ("", "QUJD" * 50, "x"), (None, "QUJD", "x"), (None, None, None), ("", None, "x"), (None, "?" * 200, None)], "p string, e string, u string")
     texts = F.when(F.col("p").isNotNull(), F.array("p"))
